@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import encode, neardup, overlap, topn
+from corpuslens.llm import encode, language, mixture, neardup, overlap, topn
 from corpuslens.sources.tables import current_queries, table
 
 NEAR_RECORDS = neardup.NearDup(shingle=3, similarity=0.5, least_words=20)
@@ -68,7 +68,43 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(table(spark, d, "documents"), "doc_id", "text", encode.Tokenizer.public())
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_report": p5_report, "p6_ids": p6_ids}
+def p7_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that are used, and how often, so that each listed source gets its weight of all tokens."""
+    selection, _ = mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), encode.Tokenizer.public())
+    return selection.withColumnRenamed("key", "doc_id")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of all tokens that each listed source was to get and got."""
+    return mixture.share_report(*mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), encode.Tokenizer.public()))
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch of every text in one language, with a confidence."""
+    documents = table(spark, d, "documents")
+    samples = language.labelled_text(table(spark, d, "lang_samples"))
+    samples = language.extend(samples, language.labelled_documents(documents, "doc_id", "text", "lang"))
+    return language.language_segments(documents, "doc_id", "text", samples, carry="lang")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """All segments of the documents whose label is missing or wrong, or that have more than one segment."""
+    wrong = F.coalesce(language.label_code(F.col("claim")) != F.col("lang"), F.lit(True))
+    return p8_segments(spark, d).where((F.col("n_segments") > 1) | wrong).select("doc_id", "seg_no", "lang")
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
+    "p6_ids": p6_ids,
+    "p7_selection": p7_selection,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_segments": p8_segments,
+}
 
 _P5 = """
 WITH cur AS (
