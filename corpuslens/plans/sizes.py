@@ -12,6 +12,6 @@ BROADCAST_ROWS = 250_000
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df` with a broadcast hint if it has at most `rows` rows, else as it is, for a shuffled join.
 
-    `df` should be cheap to count (a written table). The rows are counted, never sampled.
+    `df` should be cheap to count (a written table, of which only the files' footers are read).
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
