@@ -67,26 +67,23 @@ def common_words(contents: DataFrame, p: NearDup) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        records, waiting = 0, []
-        for part, texts in _chunks(batches, p.chunk):
-            records += part.num_rows
+        waiting = []
+        for _, texts in _chunks(batches, p.chunk):
             waiting.append(unique_per_text(*word_hashes(texts))[0])
             if len(waiting) == 32:
                 yield tally(waiting)
                 waiting = []
         if waiting:
             yield tally(waiting)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([records], pa.int64())], names=["word", "n"])
 
     def tally(waiting: list[np.ndarray]) -> pa.RecordBatch:
         words, n = np.unique(np.concatenate(waiting), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n, pa.int64())], names=["word", "n"])
 
     counts = contents.select("content").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    # the row without a word holds the number of records; see NearDup.common_least
-    total = counts.where(F.col("word").isNull()).select(F.col("n").alias("total"))
-    rows = counts.where(F.col("word").isNotNull() & (F.col("n") >= p.common_least)).join(F.broadcast(total), F.col("n") >= p.common_share * F.col("total"))
-    return np.sort(np.array([r[0] for r in rows.select("word").collect()], dtype=np.int64).view(np.uint64))
+    least = max(p.common_least, p.common_share * contents.count())
+    rows = counts.where(F.col("n") >= least).select("word").collect()
+    return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
 
 
 def _multipliers(n: int) -> np.ndarray:
