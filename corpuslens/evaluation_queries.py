@@ -449,7 +449,7 @@ TRIAL_COLUMNS = ["bm25", "dense", "hybrid", "dense_minus_bm25", "hybrid_minus_de
 @query
 def query_resampling(s, d):
     trials = stats.replicate_means(_study(s, d), TRIAL_COLUMNS, "qid", 2000, 323)
-    return r6(trials.withColumnRenamed("b", "trial"))
+    return r6(trials.withColumnRenamed("_b", "trial"))
 
 
 @query

@@ -132,7 +132,7 @@ trials AS (SELECT b AS trial, {", ".join(f"avg({c}) AS {c}" for c in _TRIALS)} F
 """
 _SPEARMAN = [("gap vs bm25", "gap", "bm25"), ("gap vs dense", "gap", "dense"), ("gap vs hybrid", "gap", "hybrid"), ("overlap vs dense - bm25", "1 - gap", "dense_minus_bm25")]
 _STRATA = """, r AS (SELECT *, row_number() OVER (ORDER BY round({by}, 9), qid) - 1 AS r, count(*) OVER () AS n FROM study)
-SELECT (CASE WHEN 3 * r > n - 1 THEN 1 ELSE 0 END + CASE WHEN 3 * r > 2 * (n - 1) THEN 1 ELSE 0 END)::BIGINT AS stratum, count(*) AS n_queries, """ + ", ".join(f"round(avg({c}), 6) AS {c}" for c in _TRIALS) + " FROM r GROUP BY 1"
+SELECT (CASE WHEN 3 * r >= n - 1 THEN 1 ELSE 0 END + CASE WHEN 3 * r >= 2 * (n - 1) THEN 1 ELSE 0 END)::BIGINT AS stratum, count(*) AS n_queries, """ + ", ".join(f"round(avg({c}), 6) AS {c}" for c in _TRIALS) + " FROM r GROUP BY 1"
 _ANSWER = "CASE WHEN regexp_matches(lower({0}), '\\byes\\b') THEN 'yes' WHEN regexp_matches(lower({0}), '\\bno\\b') THEN 'no' WHEN regexp_matches(lower({0}), '\\bmaybe\\b') THEN 'maybe' ELSE 'unknown' END"
 _TOP5 = """ctx AS (
   SELECT q.qid, q.text, '{m}' AS method, coalesce(p.passages, []) AS passages

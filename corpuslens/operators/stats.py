@@ -22,25 +22,25 @@ def scrambled(x: Column) -> Column:
 
 
 def draws(spark, replicates: int, n: int, size: int) -> DataFrame:
-    """b, i, idx: for each replicate b, `size` draws of a place in 0..n-1, with replacement."""
+    """_b, _i, _idx: for each replicate _b, `size` draws of a place in 0..n-1, with replacement."""
     x = F.col("id") * 7919 + 12345
-    r = spark.range(replicates * size, numPartitions=max(8, replicates * size // 2_000_000)).withColumn("idx", F.pmod(scrambled(x), F.lit(max(1, n))))
-    return r.select(F.floor(F.col("id") / size).cast("bigint").alias("b"), F.pmod("id", F.lit(size)).alias("i"), "idx")
+    r = spark.range(replicates * size, numPartitions=max(8, replicates * size // 2_000_000)).withColumn("_idx", F.pmod(scrambled(x), F.lit(max(1, n))))
+    return r.select(F.floor(F.col("id") / size).cast("bigint").alias("_b"), F.pmod("id", F.lit(size)).alias("_i"), "_idx")
 
 
 def placed(values: DataFrame, order: str) -> DataFrame:
-    """`values` with idx from 0 in the order of `order`. One row for each query, so the window is small beside the runs."""
-    return values.withColumn("idx", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order)) - 1).cast("bigint"))
+    """`values` with _idx from 0 in the order of `order`. One row for each query, so the window is small beside the runs."""
+    return values.withColumn("_idx", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order)) - 1).cast("bigint"))
 
 
 def replicate_means(values: DataFrame, columns: list[str], order: str, replicates: int, size: int | None = None) -> DataFrame:
-    """b and the mean of each column over the replicate's draws."""
+    """_b and the mean of each column over the replicate's draws."""
     p = placed(values.select(order, *columns), order)
     n = values.count()
     if not n:
-        return p.select(F.lit(0).cast("bigint").alias("b"), *columns).limit(0)
+        return p.select(F.lit(0).cast("bigint").alias("_b"), *columns).limit(0)
     drawn = draws(values.sparkSession, replicates, n, size or n)
-    return drawn.join(p, "idx").groupBy("b").agg(*[F.avg(c).alias(c) for c in columns])
+    return drawn.join(p, "_idx").groupBy("_b").agg(*[F.avg(c).alias(c) for c in columns])
 
 
 def paired_bootstrap(values: DataFrame, a: str, b: str, order: str, replicates: int = 10_000, alpha: float = 0.05) -> DataFrame:
@@ -148,12 +148,12 @@ def wilcoxon_p(n: int, w: float, tie_sum: float) -> float:
 def stratify(values: DataFrame, by: str, order: str, means: list[str]) -> DataFrame:
     """stratum (0 to 2), n_queries and the mean of each column in thirds by rank, ties broken by `order`.
 
-    The cuts are those of quantile bins over ranks: r goes to 0, 1 or 2 as 3 (r - 1) passes n - 1 and 2 (n - 1).
+    The cuts are those of quantile bins over ranks: r goes to 0, 1 or 2 as 3 (r - 1) reaches n - 1 and 2 (n - 1).
     """
     r = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.round(by, 9), order)) - 1
     n = F.count("*").over(Window.partitionBy(F.lit(1)))
     ranked = values.select(order, by, *[m for m in means if m not in (order, by)]).withColumn("r", r).withColumn("n", n)
-    bin_ = (3 * F.col("r") > F.col("n") - 1).cast("int") + (3 * F.col("r") > 2 * (F.col("n") - 1)).cast("int")
+    bin_ = (3 * F.col("r") >= F.col("n") - 1).cast("int") + (3 * F.col("r") >= 2 * (F.col("n") - 1)).cast("int")
     return ranked.groupBy(bin_.alias("stratum")).agg(F.count("*").alias("n_queries"), *[F.avg(m).alias(m) for m in means])
 
 
@@ -204,12 +204,12 @@ def ols_bootstrap(values: DataFrame, xs: list[str], y: str, order: str, replicat
     coef = solve(row, xs, y, mean, std)
     names = ["Intercept", *xs]
     p = placed(values.select(order, *xs, y), order)
-    sums = moments(draws(values.sparkSession, replicates, row["n"], row["n"]).join(p, "idx"), xs, y, ["b"])
+    sums = moments(draws(values.sparkSession, replicates, row["n"], row["n"]).join(p, "_idx"), xs, y, ["_b"])
 
     def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.to_dict("records"):
-                yield pd.DataFrame({"b": r["b"], "feature": names, "boot": solve(r, xs, y, mean, std)})
+                yield pd.DataFrame({"b": r["_b"], "feature": names, "boot": solve(r, xs, y, mean, std)})
 
     boot = sums.mapInPandas(solved, "b bigint, feature string, boot double")
     points = F.broadcast(values.sparkSession.createDataFrame([(n, float(c)) for n, c in zip(names, coef, strict=True)], "feature string, coef double"))
