@@ -122,5 +122,5 @@ def share_report(selection: DataFrame, rates: DataFrame) -> DataFrame:
     joined = rates.join(got, "source", "left").na.fill(0, ["docs_used", "most_copies", "tokens_used"])
     return joined.select(
         "source", "weight", "max_repeats", "n_docs", "n_tokens", "rate", "docs_used", "most_copies", "tokens_used",
-        (F.col("tokens_used") / F.sum("tokens_used").over(every)).alias("share"),
+        F.coalesce(F.try_divide("tokens_used", F.sum("tokens_used").over(every)), F.lit(0.0)).alias("share"),
     )
