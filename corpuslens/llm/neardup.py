@@ -36,7 +36,7 @@ class NearDup:
     shingle: int = 5
     similarity: float = 0.8
     least_words: int = 5
-    segments: int = 10
+    segments: int = 14
     width: int = 3
     radius: int = 1
     least_agreeing: int = 4
