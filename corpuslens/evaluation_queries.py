@@ -191,7 +191,8 @@ def rrf_fusion(s, d):
 
 @query
 def bm25_index_stats(s, d):
-    df, totals = lexical.index_stats(*lexical.postings(L.corpus(s, d)))
+    tokens = cut(lexical.token_table(L.corpus(s, d)))
+    df, totals = lexical.index_stats(tokens, lexical.postings(tokens))
     return r6(df.agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"), F.max("df").alias("most")).join(F.broadcast(totals)))
 
 

@@ -7,19 +7,24 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.text import prep_text, retrieval_tokens
 from corpuslens.operators.metrics import rank_run
+from corpuslens.plans.lineage import cut
+from corpuslens.plans.sizes import small_side
 
 
-def postings(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(terms: doc_id, term, tf; lengths: doc_id, dl). Documents without tokens have length 0 and count."""
+def token_table(corpus: DataFrame) -> DataFrame:
+    """doc_id, tokens, dl: the corpus in tokens. Documents without tokens have length 0 and count."""
     tokens = corpus.select("doc_id", retrieval_tokens(prep_text("title", "text")).alias("tokens"))
-    lengths = tokens.select("doc_id", F.size("tokens").alias("dl"))
-    terms = tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    return terms, lengths
+    return tokens.select("doc_id", "tokens", F.size("tokens").alias("dl"))
 
 
-def index_stats(terms: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
+def postings(tokens: DataFrame) -> DataFrame:
+    """doc_id, dl, term, tf."""
+    return tokens.select("doc_id", "dl", F.explode("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+
+
+def index_stats(tokens: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(df: term, df; one row of n_docs, avgdl)."""
-    return terms.groupBy("term").agg(F.count("*").alias("df")), lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    return terms.groupBy("term").agg(F.count("*").alias("df")), tokens.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -31,23 +36,26 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25(corpus: DataFrame, queries: DataFrame, k: int = 100, k1: float = 1.5, b: float = 0.75, pad: bool = False) -> DataFrame:
     """qid, doc_id, score, rank: the k best documents of each query.
 
-    Only the postings of the queries' terms are joined; a frequent term's postings are spread by the documents, as
-    its few queries are the side that is copied when adaptive execution splits the join. `pad` fills a query's list up
-    to k documents with others of score 0, in the order of their ids, as a dense score matrix would.
+    The corpus is brought to tokens once and written; of these only the queries' terms become postings, so that the rest
+    is never shuffled. A frequent term's postings are spread by document, as the few queries of the term are the side
+    that is copied when adaptive execution splits the join. `pad` fills a query's list up to k documents with others of
+    score 0, in the order of their ids, as a dense score matrix would.
     """
-    terms, lengths = postings(corpus)
+    tokens = cut(token_table(corpus))
     wanted = query_terms(queries)
-    of_queries = terms.join(wanted.select("term").distinct(), "term", "left_semi")
-    df, totals = index_stats(of_queries, lengths)
+    terms = small_side(cut(wanted.select("term").distinct()))
+    exploded = tokens.select("doc_id", "dl", F.explode("tokens").alias("term")).join(terms, "term", "left_semi")
+    hits = cut(exploded.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")))
+    df, totals = index_stats(tokens, hits)
     n, avgdl = totals.first()  # two numbers
     n, avgdl = int(n or 0), float(avgdl or 0.0) or 1.0
     idf = F.log(1.0 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = wanted.join(df, "term").select("qid", "term", (F.col("qtf") * idf).alias("weight"))
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl))
-    weighted = of_queries.join(lengths, "doc_id").select("doc_id", "term", (F.col("tf") / (F.col("tf") + norm)).alias("part"))
-    scores = weighted.join(weights, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+    parts = hits.select("doc_id", "term", (F.col("tf") / (F.col("tf") + norm)).alias("part"))
+    scores = parts.join(weights, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
     top = rank_run(scores, ["qid"], k)
-    return _padded(top, lengths.select("doc_id"), queries, k) if pad else top
+    return _padded(top, tokens.select("doc_id"), queries, k) if pad else top
 
 
 def _padded(top: DataFrame, ids: DataFrame, queries: DataFrame, k: int) -> DataFrame:
