@@ -171,7 +171,7 @@ def topk_per_query(s, d):
 
 @query
 def minmax_norm(s, d):
-    return r6(L.run(s, d).select("method", "qid", "doc_id", fusion.min_max("score", ("method", "qid")).alias("score")))
+    return r6(fusion.min_max(L.run(s, d), ["score"], ["method", "qid"]))
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.operators.metrics import rank_run
@@ -14,15 +14,19 @@ def joined(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, ["qid", "doc_id"], "full_outer").na.fill(0.0, ["a", "b"])
 
 
-def min_max(score: str, keys: tuple[str, ...] = ("qid",)) -> Column:
-    """A score brought to 0..1 within its query; 0 where all are the same."""
-    w = Window.partitionBy(*keys)
-    lo, hi = F.min(score).over(w), F.max(score).over(w)
-    return F.when(hi > lo, (F.col(score) - lo) / (hi - lo)).otherwise(0.0)
+def min_max(scores: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
+    """`scores` with each of `cols` brought to 0..1 within its query; 0 where all are the same.
+
+    The bounds are aggregated map-side and joined back, so that a query with very many documents is no hot spot.
+    """
+    bounds = scores.groupBy(*keys).agg(*[f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))])
+    lo, hi = (lambda c: F.col(f"_lo_{c}")), (lambda c: F.col(f"_hi_{c}"))
+    scaled = {c: F.when(hi(c) > lo(c), (F.col(c) - lo(c)) / (hi(c) - lo(c))).otherwise(0.0) for c in cols}
+    return scores.join(bounds, keys).withColumns(scaled).select(*scores.columns)
 
 
 def normalised(a: DataFrame, b: DataFrame) -> DataFrame:
-    return joined(a, b).select("qid", "doc_id", min_max("a").alias("a"), min_max("b").alias("b"))
+    return min_max(joined(a, b), ["a", "b"], ["qid"])
 
 
 def hybrid(a: DataFrame, b: DataFrame, alpha: float = 0.4) -> DataFrame:

@@ -7,9 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.plans.lineage import cut
+from corpuslens.plans.numbering import average_ranks, with_index
+
 PRIME = 2_147_483_647
 
 
@@ -29,8 +32,8 @@ def draws(spark, replicates: int, n: int, size: int) -> DataFrame:
 
 
 def placed(values: DataFrame, order: str) -> DataFrame:
-    """`values` with _idx from 0 in the order of `order`. One row for each query, so the window is small beside the runs."""
-    return values.withColumn("_idx", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order)) - 1).cast("bigint"))
+    """`values` with _idx from 0 in the order of `order`."""
+    return with_index(values, [order])
 
 
 def replicate_means(values: DataFrame, columns: list[str], order: str, replicates: int, size: int | None = None) -> DataFrame:
@@ -63,20 +66,16 @@ def summary(trials: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def average_rank(x: str, by: Column | None = None) -> Column:
-    """The rank of a value, ties sharing the mean of theirs."""
-    part = by if by is not None else F.lit(1)
-    return F.rank().over(Window.partitionBy(part).orderBy(x)) + (F.count("*").over(Window.partitionBy(part, x)) - 1) / 2.0
-
-
 def spearman(values: DataFrame, pairs: list[tuple[str, str, str]]) -> DataFrame:
     """relationship, n, spearman_rho: Pearson's correlation of average ranks, for each (name, x, y) of columns."""
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("relationship"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) for n, x, y in pairs])).alias("p")
-    long = values.select(each).select("p.*").where("x IS NOT NULL AND y IS NOT NULL")
-    by = F.col("relationship")
-    ranked = long.select("relationship", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
-    ranked = ranked.select("relationship", average_rank("x", by).alias("rx"), average_rank("y", by).alias("ry"))
-    return ranked.groupBy("relationship").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("spearman_rho"))
+    long = cut(values.select(each).select("p.*").where("x IS NOT NULL AND y IS NOT NULL").select("relationship", F.round("x", 9).alias("x"), F.round("y", 9).alias("y")))
+    sides = [long.select(F.concat("relationship", F.lit(f"|{c}")).alias("side"), F.col(c).alias("v")) for c in ("x", "y")]
+    ranks = cut(average_ranks(sides[0].unionByName(sides[1]), "side", "v"))
+    for c in ("x", "y"):
+        own = ranks.select(F.col("side").alias(f"side_{c}"), F.col("v").alias(c), F.col("rank").alias(f"r{c}"))
+        long = long.withColumn(f"side_{c}", F.concat("relationship", F.lit(f"|{c}"))).join(own, [f"side_{c}", c])
+    return long.groupBy("relationship").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("spearman_rho"))
 
 
 def with_p_value(rho: DataFrame) -> DataFrame:
@@ -129,12 +128,13 @@ def wilcoxon(values: DataFrame, a: str, b: str) -> DataFrame:
     """
     d = values.select(F.round(F.col(a) - F.col(b), 9).alias("d"))
     nonzero = d.where("d <> 0").select("d", F.abs("d").alias("size"))
-    ranked = nonzero.withColumn("r", average_rank("size")).withColumn("t", F.count("*").over(Window.partitionBy("size")))
-    plus, minus = F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r"))), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("r"))), F.lit(0.0))
-    w = ranked.agg(
-        F.count("*").alias("n_nonzero"), plus.alias("w_plus"), minus.alias("w_minus"), F.least(plus, minus).alias("w"),
-        F.coalesce(F.sum(F.col("t") * F.col("t") - 1), F.lit(0)).cast("double").alias("tie_sum"),
-    )
+    ranks = average_ranks(nonzero.withColumn("_all", F.lit(1)), "_all", "size").select("size", F.col("rank").alias("r"))
+    groups = nonzero.groupBy("size", "d").agg(F.count("*").alias("m")).join(ranks, "size")
+    tied = nonzero.groupBy("size").agg(F.count("*").alias("t"))
+    plus, minus = (F.coalesce(F.sum(F.when(c, F.col("r") * F.col("m"))), F.lit(0.0)) for c in (F.col("d") > 0, F.col("d") < 0))
+    w = groups.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n_nonzero"), plus.alias("w_plus"), minus.alias("w_minus"), F.least(plus, minus).alias("w"))
+    ties = tied.agg(F.coalesce(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")), F.lit(0)).cast("double").alias("tie_sum"))
+    w = w.join(F.broadcast(ties))
     wins = d.agg(*[F.count(F.when(c, 1)).alias(n) for n, c in (("a_wins", F.col("d") > 0), ("b_wins", F.col("d") < 0), ("ties", F.col("d") == 0))])
     return w.join(F.broadcast(wins))  # one row each
 
@@ -150,9 +150,8 @@ def stratify(values: DataFrame, by: str, order: str, means: list[str]) -> DataFr
 
     The cuts are those of quantile bins over ranks: r goes to 0, 1 or 2 as 3 (r - 1) reaches n - 1 and 2 (n - 1).
     """
-    r = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.round(by, 9), order)) - 1
-    n = F.count("*").over(Window.partitionBy(F.lit(1)))
-    ranked = values.select(order, by, *[m for m in means if m not in (order, by)]).withColumn("r", r).withColumn("n", n)
+    keep = values.select(order, F.round(by, 9).alias("_by"), *[m for m in means if m != order])
+    ranked = with_index(keep, ["_by", order], "r").withColumn("n", F.lit(values.count()))
     bin_ = (3 * F.col("r") >= F.col("n") - 1).cast("int") + (3 * F.col("r") >= 2 * (F.col("n") - 1)).cast("int")
     return ranked.groupBy(bin_.alias("stratum")).agg(F.count("*").alias("n_queries"), *[F.avg(m).alias(m) for m in means])
 
