@@ -193,6 +193,10 @@ SQL = {
     "feat_is_question": _with(QUERY) + f"SELECT qid, {_QUESTION} AS is_question FROM queries",
     "feat_med_share": _with(QUERY) + f"SELECT qid, round({_MED}, 6) AS med_share FROM queries",
     "qa_normalise": _with(CORPUS) + f"SELECT doc_id, {_ANSWER.format('text')} AS answer FROM corpus",
+    "qa_to_qrels": _with(CORPUS, """qa AS (
+  SELECT coalesce(id, row_no::VARCHAR) AS qid, arg_max({'q': question, 'r': relevant_passage_ids}, row_no) AS x FROM qa_ds GROUP BY 1),
+ids AS (SELECT qid, x.q AS question, unnest(coalesce(TRY_CAST(CASE WHEN json_valid(x.r) THEN x.r::JSON END AS VARCHAR[]), TRY_CAST(CASE WHEN json_valid(replace(x.r, '\'\'', '"')) THEN replace(x.r, '\'\'', '"')::JSON END AS VARCHAR[]), [])) AS doc_id FROM qa)""")
+    + "SELECT DISTINCT qid, doc_id, 1::BIGINT AS rel FROM ids WHERE question <> '' AND doc_id IN (SELECT doc_id FROM corpus WHERE text <> '' AND text <> 'nan')",
     "qa_passages": _with(CORPUS, "l AS (SELECT doc_id AS k, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS c FROM corpus)")
     + "SELECT k || '_p' || (unnest(range(len(c))))::VARCHAR AS doc_id, '' AS title, unnest(c) AS text FROM l",
     "load_collection": _with(QUERY, QRELS) + "SELECT qid, text FROM queries WHERE qid IN (SELECT qid FROM judged WHERE split = 'test')",
@@ -223,6 +227,14 @@ SQL = {
     "sparse_topk": _with(_SPARSE, "sc AS (SELECT q.vec_id AS qid, d.vec_id AS doc_id, sum(q.weight * d.weight) AS score FROM pool q JOIN pool d ON q.term = d.term WHERE q.vec_id % 50 = 0 GROUP BY 1, 2)") + "SELECT * FROM (" + _BMR + "sc) WHERE rank <= 10",
     "rerank_candidates": _with(CORPUS, QUERY, RUN, RANKED, _LEX) + _BMR + "lex",
     "rerank_top5": _with(CORPUS, QUERY, RUN, RANKED, _LEX) + "SELECT * FROM (" + _BMR + "lex) WHERE rank <= 5",
+    "rerank_delta": _with(CORPUS, QUERY, QRELS, RUN, RANKED, *[
+        c for m in ("BM25", "BGE-small") for c in (
+            _LEX.replace("cand AS", f"cand_{m[1]} AS").replace("FROM cand c", f"FROM cand_{m[1]} c").replace("lex AS", f"lex_{m[1]} AS").replace("method = 'BM25'", f"method = '{m}'"),
+            f"both_{m[1]} AS (SELECT 'first' AS stage, qid, doc_id, score FROM ranked WHERE method = '{m}' AND rank <= 100 UNION ALL SELECT 'reranked', * FROM lex_{m[1]})",
+            _ev(f"both_{m[1]}", "qrels", "stage", (10,), f"e_{m[1]}"),
+            f"g_{m[1]} AS (SELECT '{m}' AS method, avg(CASE WHEN stage = 'first' THEN ndcg_10 END) AS f, avg(CASE WHEN stage = 'reranked' THEN ndcg_10 END) AS r FROM e_{m[1]})",
+        )])
+    + "SELECT method, round(f, 6) AS first, round(r, 6) AS reranked, round(r - f, 6) AS delta FROM (SELECT * FROM g_M UNION ALL SELECT * FROM g_G)",
     **{f"metric_{n}": _EV + f"SELECT method, qid, {', '.join(f'round({m}_{k}, 6) AS {m}_{k}' for k in KS)} FROM ev" for n, m in (("ndcg", "ndcg"), ("recall", "recall"), ("precision", "p"), ("map", "map"))},
     "evaluate_wide": _EV + _agg("method", KS, "ev"),
     "per_query_ndcg": _WIDE + "SELECT method, qid, round(ndcg, 6) AS ndcg FROM pq",
