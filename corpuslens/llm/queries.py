@@ -106,6 +106,16 @@ QUERIES = {
     "p8_segments": p8_segments,
 }
 
+_P4 = """
+WITH cur AS (
+  SELECT _id, lower(concat_ws(' ', coalesce(title, ''), coalesce(text, ''), coalesce(passage, ''))) AS content FROM (
+    SELECT *, row_number() OVER (PARTITION BY _id ORDER BY loaded_at DESC) AS k FROM corpus_ds) WHERE k = 1 AND NOT coalesce(deleted, false)),
+w AS (SELECT _id, regexp_extract_all(content, '[\\p{L}\\p{N}]+') AS w FROM cur),
+s AS (
+  SELECT DISTINCT _id, hash(w[i], w[i + 1], w[i + 2]) AS g FROM (SELECT _id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 20)),
+n AS (SELECT _id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT x._id AS a, y._id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x._id < y._id GROUP BY 1, 2),
+pairs AS (SELECT a, b FROM c JOIN n p ON p._id = a JOIN n q ON q._id = b WHERE 2 * c >= p.n + q.n - c)"""
 _P5 = """
 WITH cur AS (
   SELECT _id, source, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM (
@@ -129,15 +139,16 @@ WITH best AS (
 lim AS (SELECT method, qid, max(top_k) AS n FROM retrieval WHERE qid IN (SELECT qid FROM feat_rows WHERE qid IS NOT NULL) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY method, qid ORDER BY score DESC, doc_id) AS k FROM best)
 SELECT r.method, r.qid, CAST(r.k AS INTEGER) AS pos, r.doc_id FROM r JOIN lim ON r.method = lim.method AND r.qid = lim.qid AND r.k <= lim.n""",
-    "p4_found": """
-WITH cur AS (
-  SELECT _id, lower(concat_ws(' ', coalesce(title, ''), coalesce(text, ''), coalesce(passage, ''))) AS content FROM (
-    SELECT *, row_number() OVER (PARTITION BY _id ORDER BY loaded_at DESC) AS k FROM corpus_ds) WHERE k = 1 AND NOT coalesce(deleted, false)),
-w AS (SELECT _id, regexp_extract_all(content, '[\\p{L}\\p{N}]+') AS w FROM cur),
-s AS (
-  SELECT DISTINCT _id, hash(w[i], w[i + 1], w[i + 2]) AS g FROM (SELECT _id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 20)),
-n AS (SELECT _id, count(*) AS n FROM s GROUP BY 1),
-c AS (SELECT x._id AS a, y._id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x._id < y._id GROUP BY 1, 2)
-SELECT a AS id_a, b AS id_b FROM c JOIN n p ON p._id = a JOIN n q ON q._id = b WHERE 2 * c >= p.n + q.n - c""",
+    "p4_found": _P4 + "SELECT a AS id_a, b AS id_b FROM pairs",
+    "p4_groups": _P4.replace("WITH cur", "WITH RECURSIVE cur") + """,
+m AS (SELECT _id, w FROM w WHERE len(w) >= 20),
+e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach AS (SELECT _id, _id AS other FROM m UNION SELECT reach._id, e.b FROM reach JOIN e ON reach.other = e.a),
+g AS (SELECT _id, min(other) AS group_id FROM reach GROUP BY 1),
+l AS (SELECT e.a, count(DISTINCT y.w) AS n FROM e JOIN m x ON e.a = x._id JOIN m y ON e.b = y._id WHERE x.w <> y.w GROUP BY 1)
+SELECT g._id AS id, group_id, coalesce(l.n, 0) AS n_links FROM g LEFT JOIN l ON g._id = l.a""",
     "p5_found": _P5 + "SELECT DISTINCT eval_split, qid_a, qid_b FROM o",
+    "p5_report": _P5 + """, p AS (
+  SELECT eval_split, qid_a, qid_b, any_value(eval_qid) AS eval_qid, any_value(lower(trim(source))) AS source, max(c) AS c, max(u) AS u FROM o GROUP BY 1, 2, 3)
+SELECT eval_split, source, count(*) AS n_pairs, count(DISTINCT eval_qid) AS n_queries, count(CASE WHEN c = u THEN 1 END) AS n_exact FROM p GROUP BY 1, 2""",
 }
