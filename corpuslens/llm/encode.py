@@ -50,7 +50,7 @@ class Tokenizer:
 
 _LOADED: dict = {}
 
-WINDOW, AVERAGE, LONGEST = 12, 128, 4096
+WINDOW, AVERAGE, LONGEST = 12, 64, 4096
 
 
 def chunk_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +169,7 @@ def encode_corpus(documents: DataFrame, key: str, text: str, tokenizer: Tokenize
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, _ = tokenizer.load()
         for batch in batches:
-            ids = encoding.encode_ordinary_batch(batch.column(0).to_pylist(), num_threads=1)
+            ids = [encoding.encode_ordinary(c) for c in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["chunk", "tokens"])
 
     encoded = chunks.select("chunk").distinct().mapInArrow(encode, "chunk string, tokens array<int>")
