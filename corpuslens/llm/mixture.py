@@ -32,7 +32,7 @@ def sized_documents(documents: DataFrame, key: str, text: str, source: str, toke
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                n = [len(ids) for ids in encoding.encode_ordinary_batch(part.column("text").to_pylist(), num_threads=1)]
+                n = [len(encoding.encode_ordinary(t)) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("source"), pa.array(n, pa.int64())], names=["key", "source", "n_tokens"])
 
     return docs.where("source IS NOT NULL AND length(text) > 0").mapInArrow(count, f"key {kind}, source string, n_tokens bigint")
