@@ -34,8 +34,18 @@ def run(spark, items, named, partitions=None):
     return [(r.method, r.qid, r.pos, r.doc_id) for r in out.collect()]
 
 
+@pytest.fixture(params=[10_000, 37])
+def batch_rows(spark, request):
+    """Groups cross batches, too."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, request.param)
+    yield
+    spark.conf.set(key, before)
+
+
 @pytest.mark.parametrize("partitions", [1, 7, 40])
-def test_hot_group_over_many_partitions(spark, partitions):
+def test_hot_group_over_many_partitions(spark, partitions, batch_rows):
     rng = random.Random(partitions)
     items = [item("m", "hot", f"d{rng.randrange(900)}", rng.randrange(40) / 4, 25) for _ in range(3000)]
     items += [item(rng.choice("mn"), f"q{rng.randrange(40)}", f"d{rng.randrange(50)}", rng.choice([0.5, 1.0, None, float("nan")]), rng.choice([2, 5, None])) for _ in range(900)]
