@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -21,10 +22,28 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _sweep() -> None:
+    """The written tables are of no use after the application; whoever ends without this leaves them to the folder's owner."""
+    for spark, path in _WRITTEN:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001
+            return  # the session has ended before
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows read back from a written table, so that a lost executor costs no recomputation."""
+    """The same rows read back from a written table, so that a lost executor costs no recomputation.
+
+    The table is deleted when the driver's process ends with its session still there.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
