@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.plans.lineage import cut
+
 #: Words of a suffix that are kept for sorting and for the length of a span.
 SPAN_WORDS = 8
 
@@ -31,7 +33,7 @@ def ordered_words(texts: DataFrame, common_share: float = 0.002) -> DataFrame:
     Only the common words are ordered by their counts. There are at most (mean number of words) / common_share of
     them, however many texts there are, so they are broadcast; the counts are over all texts.
     """
-    w = texts.select("text_id", words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    w = cut(texts.select("text_id", words(F.col("text")).alias("words")).where(F.size("words") > 0))
     n = w.agg(F.count("*")).first()[0]
     counts = w.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, common_share * n))
     rank = {r["word"]: r["n"] for r in counts.collect()}
@@ -83,9 +85,11 @@ def split_overlaps(roster: DataFrame, texts: DataFrame, evals: list[str], train:
     r = roster.where(F.col("split").isin(*evals, train) & F.col("qid").isNotNull()).select("split", "qid").distinct()
     t = texts.where(F.col("qid").isNotNull() & F.col("text").isNotNull()).join(r.select("qid").distinct(), "qid", "left_semi")
     records = ordered_words(t.select(F.col("qid").alias("text_id"), "text")).select(F.col("text_id").alias("qid"), "words")
-    entries = records.withColumn("set_id", F.xxhash64(F.array_join("words", " "))).join(r, "qid").select("split", "qid", "set_id", "words")
-    sets = entries.groupBy("set_id").agg(
-        F.first("words").alias("words"), F.max(F.col("split") == train).alias("in_train"), F.max(F.col("split") != train).alias("in_eval")
+    entries = cut(records.withColumn("set_id", F.xxhash64(F.array_join("words", " "))).join(r, "qid").select("split", "qid", "set_id", "words"))
+    sets = cut(
+        entries.groupBy("set_id").agg(
+            F.min("words").alias("words"), F.max(F.col("split") == train).alias("in_train"), F.max(F.col("split") != train).alias("in_eval")
+        )
     )
     x, y = sets.where("in_eval").select("set_id", "words"), sets.where("in_train").select("set_id", "words")
     spans = shared_spans(x, y, similarity)
