@@ -99,6 +99,26 @@ def _best_of_batches(docs: DataFrame, queries: list, dim: int, k: int):
     return best
 
 
+class SparseEncoder(Protocol):
+    """Anything that gives each text its (term, logit) pairs, one for each position and term."""
+
+    def encode(self, texts: list[str]) -> list[list[tuple[int, float]]]: ...
+
+
+def encode_sparse(df: DataFrame, key: str, text: str, load: Callable[[], SparseEncoder]) -> DataFrame:
+    """key, term, logit, mask for `sparse_pool`; positions that a model masks out are not to be returned by it."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for b in batches:
+            found = model.encode([t or "" for t in b[text]])
+            flat = [(k, int(t), float(x), 1.0) for k, own in zip(b[key], found, strict=True) for t, x in own]
+            yield pd.DataFrame(flat, columns=[key, "term", "logit", "mask"])
+
+    kind = dict(df.dtypes)[key]
+    return df.select(key, text).mapInPandas(rows, f"`{key}` {kind}, term bigint, logit double, mask double")
+
+
 def sparse_pool(weights: DataFrame, key: str) -> DataFrame:
     """key, term, weight: a text's term weight is the largest over its positions of log(1 + max(0, logit)), where the
     mask is set. `weights` has key, term, logit, mask; terms of weight 0 are left out."""

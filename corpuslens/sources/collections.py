@@ -26,6 +26,36 @@ class Collection:
     label: str = ""
 
 
+@dataclass(frozen=True)
+class Registered:
+    """A collection that a sweep goes over; `skip` names the retrievers that are too heavy for it."""
+
+    name: str
+    path: str
+    domain: str = ""
+    skip: frozenset[str] = frozenset()
+
+
+def sweep_report(evaluated: dict[str, DataFrame], registry: list[Registered], methods: list[str], notes: dict[str, str] | None = None) -> DataFrame:
+    """A row for each registered collection: dataset, domain, n_queries, the mean nDCG@10 of each method (4 decimals), notes.
+
+    `evaluated`: name to the rows of `metrics.evaluate`. A collection without them, and a method that it skips, has nulls,
+    to be filled in later (`sinks.backfill`).
+    """
+    out = None
+    for r in registry:
+        means = [F.round(F.avg(F.when(F.col("method") == m, F.col("ndcg_10"))), 4) if m not in r.skip else F.lit(None).cast("double") for m in methods]
+        note = (notes or {}).get(r.name, "skipped: " + ", ".join(sorted(r.skip)) if r.skip else "")
+        if r.name in evaluated:
+            values = evaluated[r.name].agg(F.countDistinct("qid").alias("n_queries"), *[c.alias(m) for c, m in zip(means, methods, strict=True)])
+        else:
+            spark = next(iter(evaluated.values())).sparkSession
+            values = spark.range(1).select(F.lit(None).cast("bigint").alias("n_queries"), *[F.lit(None).cast("double").alias(m) for m in methods])
+        row = values.select(F.lit(r.name).alias("dataset"), F.lit(r.domain).alias("domain"), "n_queries", *[F.col(f"`{m}`") for m in methods], F.lit(note).alias("notes"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def load_collection(spark: SparkSession, path: str, split: str = "test") -> Collection:
     """A folder with corpus.jsonl, queries.jsonl and qrels/<split>.tsv. Only queries judged in the split are kept.
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
-from corpuslens.operators import features, fusion, lexical, metrics, profile, qa, rerank, router, stats, vectors
+from corpuslens.operators import efficiency, features, fusion, lexical, metrics, profile, qa, rerank, router, stats, vectors
 
 RUN = "method string, qid string, doc_id string, score double"
 QRELS = "qid string, doc_id string, rel int"
@@ -104,6 +104,18 @@ def test_encoder_and_scorer_plug_in(spark):
     assert [r.doc_id for r in rerank.missing_candidates(cand, corpus).collect()] == ["gone"]
 
 
+def test_sparse_encoder_and_efficiency(spark):
+    class Letters:
+        def encode(self, texts):
+            return [[(ord(c), float(i)) for i, c in enumerate(t)] for t in texts]
+
+    df = spark.createDataFrame([(1, "aba"), (2, None), (3, "")], "doc_id bigint, text string")
+    pooled = vectors.sparse_pool(vectors.encode_sparse(df, "doc_id", "text", Letters), "doc_id")
+    assert {(r.doc_id, r.term): round(r.weight, 6) for r in pooled.collect()} == {(1, 97): round(math.log(3), 6), (1, 98): round(math.log(2), 6)}
+    row = efficiency.efficiency(spark, {"x": (lambda: df, lambda: df.limit(1))}, 5).first()
+    assert row.retriever == "x" and row.throughput > 0
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([(" Maybe, but yes\n", "A-1 b Mab x9 anaemia", "\n"), ("no one knows", "", ""), ("", "What is it", "t")], "a string, b string, c string")
     rows = df.select(

@@ -64,3 +64,11 @@ def test_sinks(spark, tmp_path):
     assert {(r.d, r.v) for r in spark.read.parquet(path).collect()} == {("a", 0.123456), ("b", 2.0)}
     wide = sinks.per_query_wide(spark.createDataFrame([("m", "q", 1.0)], "method string, qid string, ndcg double"), ["m", "n"])
     assert [tuple(r) for r in wide.collect()] == [("q", 1.0, None)]
+
+
+def test_sweep_report(spark):
+    ev = spark.createDataFrame([("q1", "m", 0.5), ("q2", "m", 0.25), ("q1", "n", 1.0)], "qid string, method string, ndcg_10 double")
+    registry = [C.Registered("a", "x", "bio"), C.Registered("b", "y"), C.Registered("c", "z", skip=frozenset({"n"}))]
+    rows = {r.dataset: r for r in C.sweep_report({"a": ev, "c": ev}, registry, ["m", "n"]).collect()}
+    assert (rows["a"].n_queries, rows["a"].m, rows["a"].n, rows["a"].domain) == (2, 0.375, 1.0, "bio")
+    assert rows["b"].m is None and rows["b"].n_queries is None and rows["c"].n is None and rows["c"].notes == "skipped: n"
