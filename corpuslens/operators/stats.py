@@ -38,8 +38,8 @@ def placed(values: DataFrame, order: str) -> DataFrame:
 
 def replicate_means(values: DataFrame, columns: list[str], order: str, replicates: int, size: int | None = None) -> DataFrame:
     """_b and the mean of each column over the replicate's draws."""
-    p = placed(values.select(order, *columns), order)
-    n = values.count()
+    p = cut(placed(values.select(order, *columns), order))
+    n = p.count()
     if not n:
         return p.select(F.lit(0).cast("bigint").alias("_b"), *columns).limit(0)
     drawn = draws(values.sparkSession, replicates, n, size or n)
@@ -48,7 +48,7 @@ def replicate_means(values: DataFrame, columns: list[str], order: str, replicate
 
 def paired_bootstrap(values: DataFrame, a: str, b: str, order: str, replicates: int = 10_000, alpha: float = 0.05) -> DataFrame:
     """mean_diff, ci_lo, ci_hi, p_a_gt_b of the mean of a - b, by resampling the pairs."""
-    d = values.select(order, (F.col(a) - F.col(b)).alias("diff"))
+    d = cut(values.select(order, (F.col(a) - F.col(b)).alias("diff")))
     boot = replicate_means(d, ["diff"], order, replicates)
     ci = boot.agg(
         F.percentile("diff", F.lit(alpha / 2)).alias("ci_lo"), F.percentile("diff", F.lit(1 - alpha / 2)).alias("ci_hi"),
@@ -151,7 +151,8 @@ def stratify(values: DataFrame, by: str, order: str, means: list[str]) -> DataFr
     The cuts are those of quantile bins over ranks: r goes to 0, 1 or 2 as 3 (r - 1) reaches n - 1 and 2 (n - 1).
     """
     keep = values.select(order, F.round(by, 9).alias("_by"), *[m for m in means if m != order])
-    ranked = with_index(keep, ["_by", order], "r").withColumn("n", F.lit(values.count()))
+    ranked = cut(with_index(keep, ["_by", order], "r"))
+    ranked = ranked.withColumn("n", F.lit(ranked.count()))
     bin_ = (3 * F.col("r") >= F.col("n") - 1).cast("int") + (3 * F.col("r") >= 2 * (F.col("n") - 1)).cast("int")
     return ranked.groupBy(bin_.alias("stratum")).agg(F.count("*").alias("n_queries"), *[F.avg(m).alias(m) for m in means])
 
@@ -198,6 +199,7 @@ def ols_bootstrap(values: DataFrame, xs: list[str], y: str, order: str, replicat
     The features are standardised once. Each replicate is reduced to its moment sums by Spark; only the small systems
     are solved in Python. p_boot is the one-sided share of replicates on the other side of 0 (1 for a coefficient of 0).
     """
+    values = cut(values.select(order, *xs, y))
     row = moments(values, xs, y).first().asDict()
     mean, std = centre(row, xs)
     coef = solve(row, xs, y, mean, std)
@@ -207,8 +209,8 @@ def ols_bootstrap(values: DataFrame, xs: list[str], y: str, order: str, replicat
 
     def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for r in batch.to_dict("records"):
-                yield pd.DataFrame({"b": r["_b"], "feature": names, "boot": solve(r, xs, y, mean, std)})
+            own = [solve(r, xs, y, mean, std) for r in batch.to_dict("records")]
+            yield pd.DataFrame({"b": np.repeat(batch["_b"].to_numpy(), len(names)), "feature": names * len(own), "boot": np.concatenate(own) if own else []})
 
     boot = sums.mapInPandas(solved, "b bigint, feature string, boot double")
     points = F.broadcast(values.sparkSession.createDataFrame([(n, float(c)) for n, c in zip(names, coef, strict=True)], "feature string, coef double"))
