@@ -68,7 +68,11 @@ def shared_spans(left: DataFrame, right: DataFrame, similarity: float) -> DataFr
     ahead = F.least(F.col("size_x") - F.col("start_x"), F.col("size_y") - F.col("start_y"))
     behind = F.least("start_x", "start_y")
     enough = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size_x") + F.col("size_y")) - F.lit(1e-9))
-    met = a.join(b, "lead").where(ahead + behind >= enough)
+    # what stands before the common start is common only before it on both sides; behind it at most what the suffixes
+    # share and what lies beyond SPAN_WORDS
+    beyond = [F.greatest(F.col(f"size_{c}") - F.col(f"start_{c}") - SPAN_WORDS, F.lit(0)) for c in "xy"]
+    shared = F.size(F.array_intersect("suffix_x", "suffix_y")) + beyond[0] + beyond[1]
+    met = a.join(b, "lead").where((ahead + behind >= enough) & (shared + behind >= enough))
     spans = met.select("set_id_x", "set_id_y", F.sequence(F.col("start_x"), F.col("start_x") + common_prefix(F.col("suffix_x"), F.col("suffix_y")) - 1).alias("span"))
     merged = F.size(F.array_distinct(F.flatten(F.collect_list("span"))))  # at most SPAN_WORDS for each start of one text
     return spans.groupBy(F.col("set_id_x").alias("x"), F.col("set_id_y").alias("y")).agg(merged.alias("covered"))
