@@ -8,7 +8,7 @@ common prefix. A pair's spans, merged, are its coverage.
 
 Two sets of a and b words that share at least the part t of their union have a common word among the first
 a - ceil(t * a) + 1 words of the one and the first b - ceil(t * b) + 1 of the other, so only suffixes that start there
-are needed to meet each such pair; the words that may still be shared behind a common start bound the pairs further.
+are needed to meet each such pair; the words that may be shared from a common start on bound the pairs further.
 """
 
 from __future__ import annotations
@@ -62,17 +62,17 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 def shared_spans(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
     """x, y, covered: pairs of a set of `left` and one of `right` with neighbouring suffixes, and how many of x's words
-    their spans cover when merged (spans are followed for at most SPAN_WORDS words)."""
+    their spans cover when merged. Spans are followed for at most SPAN_WORDS words, and only from where the rest of both
+    sets can hold enough common words."""
     a = suffix_array(left, similarity).select(*[F.col(c).alias(f"{c}_x") for c in ("set_id", "size", "start", "suffix")], "lead")
     b = suffix_array(right, similarity).select(*[F.col(c).alias(f"{c}_y") for c in ("set_id", "size", "start", "suffix")], "lead")
-    ahead = F.least(F.col("size_x") - F.col("start_x"), F.col("size_y") - F.col("start_y"))
-    behind = F.least("start_x", "start_y")
     enough = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size_x") + F.col("size_y")) - F.lit(1e-9))
-    # what stands before the common start is common only before it on both sides; behind it at most what the suffixes
-    # share and what lies beyond SPAN_WORDS
+    # At the first word that two sets have in common, all their common words are in the suffixes: at most as many as the
+    # shorter has, and as the kept words share with what lies beyond SPAN_WORDS added.
+    ahead = F.least(F.col("size_x") - F.col("start_x"), F.col("size_y") - F.col("start_y"))
     beyond = [F.greatest(F.col(f"size_{c}") - F.col(f"start_{c}") - SPAN_WORDS, F.lit(0)) for c in "xy"]
     shared = F.size(F.array_intersect("suffix_x", "suffix_y")) + beyond[0] + beyond[1]
-    met = a.join(b, "lead").where((ahead + behind >= enough) & (shared + behind >= enough))
+    met = a.join(b, "lead").where((ahead >= enough) & (shared >= enough))
     spans = met.select("set_id_x", "set_id_y", F.sequence(F.col("start_x"), F.col("start_x") + common_prefix(F.col("suffix_x"), F.col("suffix_y")) - 1).alias("span"))
     merged = F.size(F.array_distinct(F.flatten(F.collect_list("span"))))  # at most SPAN_WORDS for each start of one text
     return spans.groupBy(F.col("set_id_x").alias("x"), F.col("set_id_y").alias("y")).agg(merged.alias("covered"))
