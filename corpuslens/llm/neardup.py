@@ -60,16 +60,19 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.R
 
 
 def common_words(contents: DataFrame, p: NearDup) -> np.ndarray:
-    """Hashes of the words that stand in at least `common_share` of all records, and in `common_least`.
+    """Hashes of the words that stand in at least `common_share` of all records, and in `common_least`, where a task
+    counts records with the same words once: a record with very many copies doesn't make its own words common.
 
     Counted over every record. The result has at most (mean number of distinct words) / common_share entries,
     however many records there are.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting = []
+        waiting, seen = [], set()
         for _, texts in _chunks(batches, p.chunk):
-            waiting.append(unique_per_text(*word_hashes(texts))[0])
+            words, counts = word_hashes(texts)
+            first = np.array([c not in seen and not seen.add(c) for c in _classes(words, counts).tolist()], bool)
+            waiting.append(unique_per_text(words[np.repeat(first, counts)], counts[first])[0])
             if len(waiting) == 32:
                 yield tally(waiting)
                 waiting = []
@@ -86,6 +89,14 @@ def common_words(contents: DataFrame, p: NearDup) -> np.ndarray:
     return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
 
 
+def _classes(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A hash of the word sequence of each text; 0 for one without words."""
+    first = np.cumsum(counts) - counts
+    place = np.arange(len(words)) - np.repeat(first, counts)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(words + mix(place.astype(np.uint64))))])
+    return sums[first + counts] - sums[first]
+
+
 def _multipliers(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -109,9 +120,7 @@ def fingerprints(contents: DataFrame, p: NearDup, common: np.ndarray) -> DataFra
                 continue
             owner = np.repeat(np.arange(len(counts)), counts)
             words, counts = words[long[owner]], counts[long]
-            first = np.cumsum(counts) - counts
-            place = np.arange(len(words)) - np.repeat(first, counts)
-            classes = np.add.reduceat(mix(words + mix(place.astype(np.uint64))), first)
+            classes = _classes(words, counts)
             shingles, n = shingle_hashes(words, counts, p.shingle)
             weights = _weights(words, counts, common, p)
             starts = np.cumsum(n) - n

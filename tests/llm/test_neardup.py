@@ -65,6 +65,17 @@ def test_copies_are_one_class(spark):
     assert groups["z"] == ("c000", 1) and groups["c049"] == ("c000", 1) and groups["t2"] == ("t1", 0) and len(groups) == 53
 
 
+def test_a_hot_copy_does_not_hide_its_variants(spark):
+    p = neardup.NearDup(3, 0.5, 20, common_least=100, expand_copies=3)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(80)]
+    variants = [(f"v{k:02d}", edited(rng, base, 6)) for k in range(30)]
+    rows = [(f"c{i:04d}", " ".join(base)) for i in range(1500)] + variants + [(f"o{i}", " ".join(f"o{rng.randrange(9000)}" for _ in range(40))) for i in range(1500)]
+    got, _, _ = run(spark, rows, p)
+    assert {("c0000", v) for v, _ in variants} <= got
+    assert brute(variants, p) <= got
+
+
 def test_components_of_a_chain(spark):
     members = spark.createDataFrame([(f"r{i:02d}", i) for i in range(30)], "id string, class bigint")
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 19)] + [(25, 27), (26, 27)], "a bigint, b bigint")
