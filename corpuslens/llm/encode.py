@@ -118,40 +118,46 @@ def _certain(before: str, after: str) -> bool:
     return a == "L" and after in _CJK_STOPS
 
 
-def join_chunks(chunks: list[str], tokens: list[np.ndarray], encoding, sizes: np.ndarray) -> np.ndarray:
-    """The tokens of the whole text from those of its chunks: every join is repaired until it is exact.
+def join_chunks(tokens: list[np.ndarray], encoding, sizes: np.ndarray) -> np.ndarray:
+    """The tokens of a whole text from those of its chunks, in order: every join is repaired until it is exact.
 
-    A stretch between two certain piece starts is encoded again wherever a chunk ends within it; a text without any
-    such place is encoded as a whole.
+    The tokens spell the text. A stretch between two certain piece starts is encoded again wherever a chunk ends within
+    it; a text without any such place is encoded as a whole.
     """
-    if len(chunks) == 1:
-        return tokens[0]
-    text = "".join(chunks)
-    joins = np.cumsum([len(c) for c in chunks])[:-1].tolist()
-    stretches: list[list[int]] = []
-    for j in joins:
-        if stretches and j <= stretches[-1][1]:
+    flat = np.concatenate(tokens)
+    if len(tokens) == 1:
+        return flat
+    data = encoding.decode_bytes(flat.tolist())
+    text = data.decode()
+    ends = np.cumsum(sizes[flat])  # of each token, in bytes
+    joins = ends[np.cumsum([len(t) for t in tokens])[:-1] - 1]
+    plain = len(text) == len(data)
+    if not plain:
+        is_start = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
+        joins = np.concatenate([[0], np.cumsum(is_start)])[joins]
+        byte_of = np.append(np.flatnonzero(is_start), len(data))
+    stretches: list[tuple[int, int]] = []
+    floor = 0
+    for j in joins.tolist():
+        if stretches and j <= floor:
             continue
         s = e = j
-        floor = stretches[-1][1] if stretches else 0
         while s > floor and not _certain(text[s - 1], text[s]):
             s -= 1
         while e < len(text) and not _certain(text[e - 1], text[e]):
             e += 1
         if e > s:
-            stretches.append([s, e])
+            stretches.append((s, e))
+            floor = e
     if not stretches:
-        return np.concatenate(tokens)
-    # token boundaries in bytes; a certain piece start within a chunk is one in the chunk's own tokens too
-    flat = np.concatenate(tokens)
-    ends = np.cumsum(sizes[flat])
-    out, done, at_char, at_byte = [], 0, 0, 0
-    for s, e in stretches:
-        start = at_byte + len(text[at_char:s].encode())
-        stop = start + len(text[s:e].encode())
-        first, last = np.searchsorted(ends, start, side="right") if start else 0, np.searchsorted(ends, stop, side="right")
-        out += [flat[done:first], np.asarray(encoding.encode_ordinary(text[s:e]), np.int64)]
-        done, at_char, at_byte = last, e, stop
+        return flat
+    # a certain piece start within a chunk is one in the chunk's own tokens too, so that tokens end there
+    edges = np.array(stretches) if plain else byte_of[np.array(stretches)]
+    first, last = np.searchsorted(ends, edges[:, 0], side="right"), np.searchsorted(ends, edges[:, 1], side="right")
+    out, done = [], 0
+    for (s, e), a, b in zip(stretches, first.tolist(), last.tolist(), strict=True):
+        out += [flat[done:a], np.asarray(encoding.encode_ordinary(text[s:e]), flat.dtype)]
+        done = b
     return np.concatenate([*out, flat[done:]])
 
 
@@ -164,34 +170,36 @@ def encode_corpus(documents: DataFrame, key: str, text: str, tokenizer: Tokenize
     execution splits when it is skewed.
     """
     docs = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    chunks = docs.where(F.length("text") > 0).mapInArrow(_cut, f"key {dict(docs.dtypes)['key']}, seq int, chunk string")
+    kind = dict(docs.dtypes)["key"]
+    chunks = docs.where(F.length("text") > 0).mapInArrow(_cut, f"key {kind}, seq int, chunk string")
+    chunks = chunks.select("key", "seq", "chunk", F.xxhash64("chunk").alias("h1"), F.xxhash64("chunk", F.lit(1)).alias("h2"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, _ = tokenizer.load()
         for batch in batches:
-            ids = [encoding.encode_ordinary(c) for c in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["chunk", "tokens"])
+            ids = [encoding.encode_ordinary(c) for c in batch.column("chunk").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), pa.array(ids, pa.list_(pa.int32()))], names=["h1", "h2", "tokens"])
 
-    encoded = chunks.select("chunk").distinct().mapInArrow(encode, "chunk string, tokens array<int>")
-    parts = chunks.join(encoded, "chunk").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "chunk", "tokens"))).alias("parts"))
+    # a chunk's text is moved once, to be encoded; 128 bits of hash stand for it from then on, and its tokens spell it
+    encoded = chunks.select("h1", "h2", "chunk").distinct().mapInArrow(encode, "h1 bigint, h2 bigint, tokens array<int>")
+    placed = chunks.select("key", "seq", "h1", "h2").join(encoded, ["h1", "h2"])
+    parts = placed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "tokens"))).alias("parts"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, sizes = tokenizer.load()
         for batch in batches:
             lists = batch.column("parts")
-            flat = lists.flatten()
-            tokens = flat.field("tokens")
+            tokens = lists.flatten().field("tokens")
             values, offsets = tokens.flatten().to_numpy(), np.concatenate([[0], np.cumsum(tokens.value_lengths().to_numpy())])
-            texts = flat.field("chunk").to_pylist()
             ids, at = [], 0
             for n in lists.value_lengths().to_pylist():
                 own = [values[offsets[k] : offsets[k + 1]] for k in range(at, at + n)]
-                ids.append(join_chunks(texts[at : at + n], own, encoding, sizes))
+                ids.append(join_chunks(own, encoding, sizes))
                 at += n
             ends = pa.array(np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32))
             whole = pa.array(np.concatenate(ids).astype(np.int32)) if ids else pa.array([], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(ends, whole)], names=["key", "ids"])
 
-    full = parts.mapInArrow(assemble, f"key {dict(docs.dtypes)['key']}, ids array<int>")
+    full = parts.mapInArrow(assemble, f"key {kind}, ids array<int>")
     empty = docs.where(F.coalesce(F.length("text"), F.lit(0)) == 0).select("key", F.array().cast("array<int>").alias("ids"))
     return full.unionByName(empty).select(F.col("key").alias(key), "ids")

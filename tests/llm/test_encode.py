@@ -45,7 +45,7 @@ def test_any_cut_is_repaired_exactly(seed):
         cuts = sorted({0, len(t), *[rng.randrange(1, len(t)) for _ in range(rng.randrange(1, 12))]})
         chunks = [t[a:b] for a, b in zip(cuts, cuts[1:])]
         tokens = [np.asarray(enc.encode_ordinary(c), np.int64) for c in chunks]
-        assert encode.join_chunks(chunks, tokens, enc, sizes).tolist() == enc.encode_ordinary(t)
+        assert encode.join_chunks(tokens, enc, sizes).tolist() == enc.encode_ordinary(t)
 
 
 def test_corpus(spark):
