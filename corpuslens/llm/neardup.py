@@ -9,8 +9,10 @@ are compared exactly, by their sets of shingles.
 
 Shingles made of common words only (words in at least `common_share` of all records and in `common_least`, counted
 over all of them) weigh 1/`common_weight`: phrases that every record has would otherwise fill the tables with chance
-meetings. The words of a group of near-duplicates as large as that are common, too; its members then meet by what
-their edits share, or as copies.
+meetings. The words of a group of near-duplicates as large as that are common, too, and what is left are its edits. So
+groups as large as that are looked for in a sample of records, and records that resemble one of their members found there
+have a second fingerprint with all shingles at full weight and meet in tables of their own, whose hot keys are split
+into blocks.
 """
 
 from __future__ import annotations
@@ -43,6 +45,12 @@ class NearDup:
     common_share: float = 0.003
     common_least: int = 500
     common_weight: int = 64
+    #: Records in which groups are looked for that make their own words common; about common_share of them are of such a group.
+    sample: int = 4096
+    sample_links: int = 4  # distinct near-duplicates in the sample that a member of such a group has at least
+    resembling: int = 9  # symbols in which a record agrees with one of them; a similarity of 0.5 gives less in 1 case of 15,000
+    block: int = 1024  # classes of a hot key that are compared with as many others at once
+    small_key: int = 64  # classes of a key up to which they are joined without blocks
     chunk: int = 512  # texts hashed at once, so that the arrays stay in the processor's cache
     #: Exact copies in one class up to which every pair of them is written out; see `expand_pairs`.
     expand_copies: int = 1000
@@ -101,14 +109,54 @@ def _multipliers(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def fingerprints(contents: DataFrame, p: NearDup, common: np.ndarray) -> DataFrame:
-    """`contents` with class (a hash of the word sequence) and fp (packed symbols) in the place of content.
+def _symbols(shingles: np.ndarray, weights: np.ndarray | np.uint64, starts: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    least = np.stack([np.minimum.reduceat(((shingles * m) >> np.uint64(32)) * weights, starts) for m in multipliers], axis=1)
+    return (mix(least) & np.uint64(0xFFFF)).astype("<u2")
+
+
+def group_leaders(contents: DataFrame, p: NearDup) -> np.ndarray:
+    """Unweighted symbols of members of groups of near-duplicates that are large enough to make their words common.
+
+    Looked for in `sample` records, drawn by the hash of their ids: a group of common_share of all records has about a
+    dozen there, and each member has some of them as near-duplicates. Copies count once. Of members that are alike, one stays.
+    """
+    rows = contents.select("id", "content").where("content IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(p.sample).collect()
+    words, counts = word_hashes([r["content"] for r in rows])
+    long = counts >= max(p.least_words, p.shingle)
+    if not long.any():
+        return np.empty((0, p.symbols), "<u2")
+    words, counts = words[np.repeat(long, counts)], counts[long]
+    once = np.zeros(len(counts), bool)
+    once[np.unique(_classes(words, counts), return_index=True)[1]] = True
+    words, counts = words[np.repeat(once, counts)], counts[once]
+    shingles, n = shingle_hashes(words, counts, p.shingle)
+    ends = np.cumsum(n)
+    symbols = _symbols(shingles, np.uint64(1), ends - n, _multipliers(p.symbols))
+    sets = [set(shingles[e - k : e].tolist()) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
+    leaders: list[int] = []
+    for k, mine in enumerate(symbols):
+        agreeing = (symbols == mine).sum(axis=1)
+        near = [j for j in (agreeing >= p.resembling).nonzero()[0].tolist() if j != k]
+        links = 0
+        for j in near:
+            shared = len(sets[j] & sets[k])
+            links += shared >= p.similarity * (len(sets[j]) + len(sets[k]) - shared)
+            if links >= p.sample_links:
+                break
+        if links >= p.sample_links and all((symbols[j] == mine).sum() < p.symbols // 2 for j in leaders):
+            leaders.append(k)
+    return symbols[leaders]
+
+
+def fingerprints(contents: DataFrame, p: NearDup, common: np.ndarray, leaders: np.ndarray | None = None) -> DataFrame:
+    """`contents` with class (a hash of the word sequence), fp (packed symbols) and plain (those without weights, null
+    for records that resemble none of `leaders`) in the place of content.
 
     Records with fewer than `least_words` words, and null contents, are left out.
     """
     keep = [c for c in contents.columns if c != "content"]
     types = dict(contents.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", class bigint, fp binary"
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", class bigint, fp binary, plain binary"
     need = max(p.least_words, p.shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,11 +172,15 @@ def fingerprints(contents: DataFrame, p: NearDup, common: np.ndarray) -> DataFra
             shingles, n = shingle_hashes(words, counts, p.shingle)
             weights = _weights(words, counts, common, p)
             starts = np.cumsum(n) - n
-            least = np.stack([np.minimum.reduceat(((shingles * m) >> np.uint64(32)) * weights, starts) for m in multipliers], axis=1)
-            symbols = (mix(least) & np.uint64(0xFFFF)).astype("<u2")
+            fp = _symbols(shingles, weights, starts, multipliers)
+            plain = [None] * len(n)
+            if leaders is not None and len(leaders):
+                unweighted = _symbols(shingles, np.uint64(1), starts, multipliers)
+                most = np.max([(unweighted == one).sum(axis=1) for one in leaders], axis=0)
+                plain = [row.tobytes() if m >= p.resembling else None for row, m in zip(unweighted, most, strict=True)]
             rest = part.filter(pa.array(long)).select(keep)
-            fp = pa.array([row.tobytes() for row in symbols], pa.binary())
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(classes.view(np.int64)), fp], names=[*keep, "class", "fp"])
+            packed = [pa.array([row.tobytes() for row in fp], pa.binary()), pa.array(plain, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(classes.view(np.int64)), *packed], names=[*keep, "class", "fp", "plain"])
 
     return contents.mapInArrow(run, schema)
 
@@ -147,9 +199,21 @@ def _weights(words: np.ndarray, counts: np.ndarray, common: np.ndarray, p: NearD
     return np.where(every, np.uint64(p.common_weight), np.uint64(1))
 
 
+def _patterns(p: NearDup) -> list[list[int]]:
+    """The symbols that each table's key is made of."""
+    return [[s * p.width + k for k in kept] for s in range(p.segments) for kept in combinations(range(p.width), p.width - p.radius)]
+
+
+def _key(symbols: np.ndarray, k: int, kept: list[int]) -> np.ndarray:
+    key = np.full(len(symbols), k, np.uint64)
+    for s in kept:
+        key = (key << np.uint64(16)) | symbols[:, s] if len(kept) <= 3 else mix(key ^ (symbols[:, s] + np.uint64(1)))
+    return key.view(np.int64)
+
+
 def _ball_keys(p: NearDup):
     """class, key: for each segment, the keys of the Hamming ball of `radius` symbols around its value."""
-    patterns = [[s * p.width + k for k in kept] for s in range(p.segments) for kept in combinations(range(p.width), p.width - p.radius)]
+    patterns = _patterns(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,17 +222,17 @@ def _ball_keys(p: NearDup):
             symbols = np.frombuffer(b"".join(batch.column("fp").to_pylist()), "<u2").reshape(batch.num_rows, p.symbols).astype(np.uint64)
             classes = batch.column("class").to_numpy()
             for k, kept in enumerate(patterns):
-                key = np.full(batch.num_rows, k, np.uint64)
-                for s in kept:
-                    key = (key << np.uint64(16)) | symbols[:, s] if len(kept) <= 3 else mix(key ^ (symbols[:, s] + np.uint64(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(classes)], names=["key", "class"])
+                yield pa.RecordBatch.from_arrays([pa.array(_key(symbols, k, kept)), pa.array(classes)], names=["key", "class"])
 
     return run
 
 
 def candidate_pairs(classes: DataFrame, p: NearDup) -> DataFrame:
     """a, b: classes (a < b) that meet in a table and whose complete fingerprint distance is small enough."""
-    keys = classes.select("class", "fp").mapInArrow(_ball_keys(p), "key bigint, class bigint")
+    return _close_pairs(classes, classes.select("class", "fp").mapInArrow(_ball_keys(p), "key bigint, class bigint"), p)
+
+
+def _close_pairs(classes: DataFrame, keys: DataFrame, p: NearDup) -> DataFrame:
     x, y = keys.select("key", F.col("class").alias("a")), keys.select("key", F.col("class").alias("b"))
     met = x.join(y, "key").where("a < b").select("a", "b").distinct()
     fp_a = classes.select(F.col("class").alias("a"), F.col("fp").alias("fp_a"))
@@ -186,6 +250,49 @@ def candidate_pairs(classes: DataFrame, p: NearDup) -> DataFrame:
     return both.mapInArrow(close, "a bigint, b bigint")
 
 
+def hot_pairs(classes: DataFrame, p: NearDup) -> DataFrame:
+    """a, b: classes (a < b) near large groups that meet by their unweighted fingerprints.
+
+    A key of many classes is split into blocks, and each two of its blocks are one group of at most about 2 * `block`
+    rows, so that no task holds a whole hot key. There, a pair comes out only at the first table in which it meets.
+    """
+    hot = cut(classes.where("plain IS NOT NULL").select("class", F.col("plain").alias("fp")))
+    keys = cut(hot.mapInArrow(_ball_keys(p), "key bigint, class bigint"))
+    sized = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    few = _close_pairs(hot, sized.where(F.col("n") <= p.small_key).select("key", "class"), p)
+    blocks = F.ceil(F.col("n") / p.block)
+    split = sized.where(F.col("n") > p.small_key).select("key", "class", F.pmod("class", blocks).alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    split = split.select("key", "class", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(hot, "class")
+    many = split.groupBy("key", "i", "j").applyInArrow(_block_pairs(p), "a bigint, b bigint")
+    return few.unionByName(many).distinct()
+
+
+def _block_pairs(p: NearDup):
+    """a, b: the close pairs of two blocks of a key (or of one with itself) that meet in no earlier table."""
+    patterns = _patterns(p)
+
+    def run(rows: pa.Table) -> pa.Table:
+        key, i, j = (rows.column(c)[0].as_py() for c in ("key", "i", "j"))
+        symbols = np.frombuffer(b"".join(rows.column("fp").to_pylist()), "<u2").reshape(-1, p.symbols)
+        classes, own = rows.column("class").to_numpy(), rows.column("own").to_numpy()
+        at = next(k for k, kept in enumerate(patterns) if _key(symbols[:1].astype(np.uint64), k, kept)[0] == key)
+        x, y = own == i, own == j
+        same = [symbols[x, s][:, None] == symbols[y, s][None, :] for s in range(p.symbols)]
+        near = np.zeros((x.sum(), y.sum()), np.uint16)
+        for e in same:
+            near += e
+        near = near >= p.least_agreeing
+        for kept in patterns[:at]:
+            near &= ~np.logical_and.reduce([same[s] for s in kept])
+        u, v = near.nonzero()
+        a, b = classes[x][u], classes[y][v]
+        once = a < b if i == j else slice(None)
+        a, b = np.minimum(a, b)[once], np.maximum(a, b)[once]
+        return pa.table({"a": a, "b": b})
+
+    return run
+
+
 def _shingle_sets(p: NearDup):
     """class, grams: 32 bits of each distinct shingle's hash, ascending (two sets of a few hundred shingles collide
     with a probability below 1e-4, and then by one shingle)."""
@@ -231,9 +338,12 @@ def near_duplicates(records: DataFrame, p: NearDup) -> tuple[DataFrame, DataFram
     least class is the id's. An empty table gives empty tables.
     """
     common = common_words(records, p)
-    members = cut(fingerprints(records.select("id", "content"), p, common))
-    classes = members.groupBy("class").agg(F.min("id").alias("id"), F.min("fp").alias("fp"))
+    leaders = group_leaders(records, p) if len(common) else None
+    members = cut(fingerprints(records.select("id", "content"), p, common, leaders))
+    classes = members.groupBy("class").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("plain").alias("plain"))
     pairs = cut(candidate_pairs(classes, p))
+    if leaders is not None and len(leaders):
+        pairs = cut(pairs.unionByName(hot_pairs(classes, p)).distinct())
     involved = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     readers = cut(classes.select("class", "id").join(involved, "class", "left_semi"))
     texts = records.select("id", "content").join(small_side(readers), "id").select("class", "content")

@@ -106,3 +106,21 @@ def test_word_and_shingle_hashes():
     assert m.tolist() == [max(0, k - 1) for k in n.tolist()]
     assert len(unique_per_text(s, m)[0]) == sum(len({tuple(w[i : i + 2]) for i in range(len(w) - 1)}) for w in (WORD.findall(t.lower()) for t in texts))
     assert np.array_equal(word_hashes(["pad pad", *texts])[0][2:], h)  # wherever a word stands
+
+
+@pytest.mark.parametrize("length,edits", [(42, 1), (102, 2)])
+def test_large_group_of_edited_records(spark, length, edits):
+    """A third of all rows, each with rare words of its own: the group's words are common, its edits are not."""
+    rng = random.Random(6)
+    p = neardup.NearDup(3, 0.5, 20, block=256)
+    base = [f"g{i}" for i in range(length)]
+    planted = []
+    for k in range(600):
+        w = list(base)
+        for e, at in enumerate(rng.sample(range(length), edits)):
+            w[at] = f"rare{k}x{e}"
+        planted.append((f"p{k:04d}", " ".join(w)))
+    others = [(f"o{k:04d}", " ".join(f"w{rng.randrange(3000)}" for _ in range(40))) for k in range(1200)]
+    want = brute(planted, p)
+    got, _, _ = run(spark, planted + others, p)
+    assert got <= want and len(got) >= 0.99 * len(want)
