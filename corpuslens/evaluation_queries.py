@@ -447,15 +447,28 @@ def paired_bootstrap(s, d):
 TRIAL_COLUMNS = ["bm25", "dense", "hybrid", "dense_minus_bm25", "hybrid_minus_dense"]
 
 
+def _subset_size(s, d) -> int:
+    """Queries that are judged in the test split: so many are drawn in each trial."""
+    return load_collection(s, d).select("qid").distinct().count()
+
+
+def _trials(s, d, size: int) -> DataFrame:
+    study = _study(s, d)
+    if not size:  # nothing is judged in test, so nothing can be drawn
+        study = study.limit(0)
+    return stats.replicate_means(study, TRIAL_COLUMNS, "qid", 2000, size)
+
+
 @query
 def query_resampling(s, d):
-    trials = stats.replicate_means(_study(s, d), TRIAL_COLUMNS, "qid", 2000, 323)
+    trials = _trials(s, d, _subset_size(s, d))
     return r6(trials.withColumnRenamed("_b", "trial"))
 
 
 @query
 def resampling_summary(s, d):
-    return r6(stats.summary(stats.replicate_means(_study(s, d), TRIAL_COLUMNS, "qid", 2000, 323), TRIAL_COLUMNS))
+    size = _subset_size(s, d)
+    return r6(stats.summary(_trials(s, d, size), TRIAL_COLUMNS)).withColumn("subset_size", F.lit(size).cast("bigint"))
 
 
 @query
