@@ -315,16 +315,20 @@ def alpha_sweep(s, d):
     return r6(agg.select("alpha", "ndcg_10", "recall_10", "p_10", "risk", best.alias("best_alpha")))
 
 
-@query
-def test_comparison(s, d):
+def _comparison(s, d) -> DataFrame:
+    """Means over the test split, not rounded."""
     run = L.run(s, d)
     a, b = of(run, "BM25"), of(run, "Dense")
     all4 = None
     for name, r in (("BM25", a), ("Dense", b), ("Hybrid", fusion.hybrid(a, b)), ("RRF(k=60)", fusion.rrf([a, b]))):
         r = r.select(F.lit(name).alias("method"), "qid", "doc_id", "score")
         all4 = r if all4 is None else all4.unionByName(r)
-    agg = metrics.aggregate(metrics.evaluate(all4, dev_qrels(s, d, "test"), (10,)), ["method"], (10,))
-    return r6(agg.select("method", "ndcg_10", "recall_10", "p_10", "risk", "loss_variance"))
+    return metrics.aggregate(metrics.evaluate(all4, dev_qrels(s, d, "test"), (10,)), ["method"], (10,))
+
+
+@query
+def test_comparison(s, d):
+    return r6(_comparison(s, d).select("method", "ndcg_10", "recall_10", "p_10", "risk", "loss_variance"))
 
 
 def _by_source(s, d) -> DataFrame:
@@ -366,11 +370,13 @@ def win_tie_loss(s, d):
 
 @query
 def n_required(s, d):
-    means = _wide(s, d).agg(*[F.round(F.avg(c), 4).alias(c) for c in ("bm25", "dense", "bge_small", "e5_small")])
-    pairs = [("bge_small", "bm25"), ("bge_small", "e5_small"), ("dense", "bm25")]
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.col(a) - F.col(b)).alias("gap")) for a, b in pairs])).alias("r")
-    c = means.select(rows).select("r.*")
-    return c.select("a", "b", F.round("gap", 4).alias("observed_gap"), T.hoeffding_n(F.round("gap", 4)).alias("n_required"))
+    """Four contrasts: two of means rounded to 4 decimals over all judged queries, two of unrounded means over the test split."""
+    means = _wide(s, d).agg(*[F.round(F.avg(c), 4).alias(c) for c in ("bm25", "bge_small", "e5_small")])
+    test = _comparison(s, d).agg(*[F.max(F.when(F.col("method") == m, F.col("ndcg_10"))).alias(f"test_{m.lower()}") for m in ("BM25", "Dense", "Hybrid")])
+    pairs = [("bge_small", "bm25", ""), ("bge_small", "e5_small", ""), ("hybrid", "dense", "test_"), ("dense", "bm25", "test_")]
+    gap = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.col(of + a) - F.col(of + b), 12).alias("gap")) for a, b, of in pairs]
+    c = means.join(F.broadcast(test)).select(F.explode(F.array(*gap)).alias("r")).select("r.*")  # one row each
+    return c.select("a", "b", F.round("gap", 4).alias("observed_gap"), T.hoeffding_n(F.col("gap")).alias("n_required"))
 
 
 @query
