@@ -1,10 +1,11 @@
-"""Same or near-same texts across splits, by shared spans of a partitioned suffix array.
+"""Same or near-same texts across splits, by a prefix-filter join in the place of a suffix array.
 
 A text is reduced to its distinct words in one global order: rare words first (words in at least `common_share` of
 all texts come last, by their counts; the others are ordered by their hash). Two texts that differ in spelling, order
-or some words are then two sorted lists with long runs in common. The suffixes of these lists, sorted and partitioned by their
-leading word, are the suffix array: suffixes of the two sides that lie next to each other share a span as long as their
-common prefix. A pair's spans, merged, are its coverage.
+or some words are then two sorted lists with long runs in common. The needed suffixes of these lists are joined by their
+leading word; nothing is sorted globally and no neighbours are compared. Each shared word leads a suffix on both sides,
+and words of a common prefix are shared, so the coverage by all common spans, merged, is the number of shared words; it
+is counted over whole texts.
 
 Two sets of a and b words that share at least the part t of their union have a common word among the first
 a - ceil(t * a) + 1 words of the one and the first b - ceil(t * b) + 1 of the other, so only suffixes that start there
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.plans.lineage import cut
 
-#: Words of a suffix that are kept for sorting and for the length of a span.
+#: Words of a suffix that are kept to bound what a pair can share; the words beyond count as shared there.
 SPAN_WORDS = 8
 
 
@@ -61,9 +62,8 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 
 def shared_spans(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
-    """x, y, covered: pairs of a set of `left` and one of `right` with neighbouring suffixes, and how many of x's words
-    their spans cover when merged. Spans are followed for at most SPAN_WORDS words, and only from where the rest of both
-    sets can hold enough common words."""
+    """x, y: pairs of a set of `left` and one of `right` with a common leading word from which on both can hold enough
+    common words."""
     a = suffix_array(left, similarity).select(*[F.col(c).alias(f"{c}_x") for c in ("set_id", "size", "start", "suffix")], "lead")
     b = suffix_array(right, similarity).select(*[F.col(c).alias(f"{c}_y") for c in ("set_id", "size", "start", "suffix")], "lead")
     enough = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size_x") + F.col("size_y")) - F.lit(1e-9))
@@ -73,13 +73,12 @@ def shared_spans(left: DataFrame, right: DataFrame, similarity: float) -> DataFr
     beyond = [F.greatest(F.col(f"size_{c}") - F.col(f"start_{c}") - SPAN_WORDS, F.lit(0)) for c in "xy"]
     shared = F.size(F.array_intersect("suffix_x", "suffix_y")) + beyond[0] + beyond[1]
     met = a.join(b, "lead").where((ahead >= enough) & (shared >= enough))
-    spans = met.select("set_id_x", "set_id_y", F.sequence(F.col("start_x"), F.col("start_x") + common_prefix(F.col("suffix_x"), F.col("suffix_y")) - 1).alias("span"))
-    merged = F.size(F.array_distinct(F.flatten(F.collect_list("span"))))  # at most SPAN_WORDS for each start of one text
-    return spans.groupBy(F.col("set_id_x").alias("x"), F.col("set_id_y").alias("y")).agg(merged.alias("covered"))
+    return met.select(F.col("set_id_x").alias("x"), F.col("set_id_y").alias("y")).distinct()
 
 
 def split_overlaps(roster: DataFrame, texts: DataFrame, evals: list[str], train: str, similarity: float) -> DataFrame:
-    """eval_split, qid_a, qid_b, similarity, covered: overlaps of the eval splits with train.
+    """eval_split, qid_a, qid_b, similarity, covered: overlaps of the eval splits with train; covered is the number of
+    words that both texts have, over whole texts.
 
     `roster`: split, qid (a record may be in several splits); `texts`: qid, text. A pair is one record in both splits,
     or two whose sets of words share at least `similarity` of their union; the smaller id stands first, and rows are
@@ -101,7 +100,7 @@ def split_overlaps(roster: DataFrame, texts: DataFrame, evals: list[str], train:
     pairs = (
         spans.join(x.select(F.col("set_id").alias("x"), F.col("words").alias("words_x")), "x")
         .join(y.select(F.col("set_id").alias("y"), F.col("words").alias("words_y")), "y")
-        .select("x", "y", "covered", (shared / (F.size("words_x") + F.size("words_y") - shared)).alias("similarity"))
+        .select("x", "y", shared.alias("covered"), (shared / (F.size("words_x") + F.size("words_y") - shared)).alias("similarity"))
         .where(F.col("similarity") >= similarity)
     )
     of_eval = entries.where(F.col("split") != train).select(F.col("split").alias("eval_split"), F.col("qid").alias("q"), F.col("set_id").alias("x"))

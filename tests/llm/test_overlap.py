@@ -61,3 +61,11 @@ def test_copies_meet_once_as_sets(spark):
 def test_common_prefix(spark):
     df = spark.createDataFrame([(["a", "b", "c"], ["a", "b"]), (["a"], ["b"]), (["a", "b"], ["a", "b"])], "x array<string>, y array<string>")
     assert [r.n for r in df.select(overlap.common_prefix(F.col("x"), F.col("y")).alias("n")).collect()] == [2, 0, 2]
+
+
+def test_coverage_is_over_whole_texts(spark):
+    long = [f"w{i}" for i in range(60)]
+    r = spark.createDataFrame([("train", "a"), ("dev", "b")], "split string, qid string")
+    x = spark.createDataFrame([("a", " ".join(long)), ("b", " ".join(long[:55]))], "qid string, text string")
+    got = overlap.split_overlaps(r, x, ["dev"], "train", 0.75).collect()
+    assert [(o.qid_a, o.qid_b, o.covered) for o in got] == [("a", "b", 55)]
