@@ -1,4 +1,4 @@
-"""Near-duplicate records: multi-index hashing over shingle fingerprints, then an exact check.
+"""Near-duplicate records: multi-index hashing over shingle fingerprints, then an exact check of whole groups.
 
 A record's fingerprint is a word of `segments * width` symbols of 16 bits, each the minimum of one hash over the
 record's shingles. Two records agree in a symbol with about the probability of their (weighted) similarity, so
@@ -7,12 +7,11 @@ segment the small Hamming ball around its value (all patterns in which `radius`
 enumerated as table keys. Records that meet in a table have their complete distance computed, and those close enough
 are compared exactly, by their sets of shingles.
 
-Shingles made of common words only (words in at least `common_share` of all records and in `common_least`, counted
-over all of them) weigh 1/`common_weight`: phrases that every record has would otherwise fill the tables with chance
-meetings. The words of a group of near-duplicates as large as that are common, too, and what is left are its edits. So
-groups as large as that are looked for in a sample of records, and records that resemble one of their members found there
-have a second fingerprint with all shingles at full weight and meet in tables of their own, whose hot keys are split
-into blocks.
+Shingles that stand in at least `common_share` of all records (and in `common_least`) weigh 1/`common_weight` in the
+symbols: phrases that every record has would otherwise fill the tables with chance meetings. Records that resemble
+others don't count for that, so that the phrases of a large group of near-duplicates keep their weight; its table keys are
+hot and split into blocks. A link is no more than a way into a group, too: the records that are linked, directly or
+through others, are compared with each other once more, all of them by their sets. No meeting, partner or group is cut off.
 """
 
 from __future__ import annotations
@@ -23,12 +22,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm.shingles import mix, shingle_hashes, unique_per_text, word_hashes
 from corpuslens.plans.lineage import cut
-from corpuslens.plans.sizes import small_side
 
 
 @dataclass(frozen=True)
@@ -45,21 +43,25 @@ class NearDup:
     common_share: float = 0.003
     common_least: int = 500
     common_weight: int = 64
-    #: Records in which groups are looked for that make their own words common; about common_share of them are of such a group.
-    sample: int = 4096
-    sample_links: int = 4  # distinct near-duplicates in the sample that a member of such a group has at least
-    resembling: int = 9  # symbols in which a record agrees with one of them; a similarity of 0.5 gives less in 1 case of 15,000
-    block: int = 1024  # classes of a hot key that are compared with as many others at once
-    small_key: int = 64  # classes of a key up to which they are joined without blocks
+    small_key: int = 64  # classes of a key up to which they are paired as they stream by; others are split into blocks
+    block: int = 512  # classes that are compared with as many others at once
     chunk: int = 512  # texts hashed at once, so that the arrays stay in the processor's cache
-    #: Exact copies in one class up to which every pair of them is written out; see `expand_pairs`.
-    expand_copies: int = 1000
+    counted: int = 16384  # records whose shingles are counted at once
+    slack: int = 8  # counts of less than 1 in `slack` of the common share in such a batch are not passed on
 
     @property
     def symbols(self) -> int:
         return self.segments * self.width
 
 
+def history(rows: DataFrame, key: str, at: str, gone: str, content: Column) -> DataFrame:
+    """id, at, gone, content of a load history, for `near_duplicates`. A null `at` is the earliest; null keys are no records."""
+    when = F.coalesce(F.col(at).cast("timestamp_ntz"), F.expr("TIMESTAMP_NTZ'0001-01-01 00:00:00'"))
+    return rows.where(F.col(key).isNotNull()).select(
+        F.col(key).alias("id"), when.alias("at"), F.coalesce(F.col(gone), F.lit(False)).alias("gone"), content.alias("content")
+    )
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     for batch in batches:
         for k in range(0, batch.num_rows, size):
@@ -67,136 +69,113 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.R
             yield part, part.column("content").to_pylist()
 
 
-def common_words(contents: DataFrame, p: NearDup) -> np.ndarray:
-    """Hashes of the words that stand in at least `common_share` of all records, and in `common_least`, where a task
-    counts records with the same words once: a record with very many copies doesn't make its own words common.
+def _classes(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A hash of the word sequence of each text; 0 for one without words."""
+    first = np.cumsum(counts) - counts
+    place = np.arange(len(words)) - np.repeat(first, counts)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(words + mix(place.astype(np.uint64))))])
+    return sums[first + counts] - sums[first]
+
+
+def common_shingles(contents: DataFrame, p: NearDup) -> np.ndarray:
+    """Hashes of the shingles of at least `common_share` of all records (and `common_least`), ascending.
 
-    Counted over every record. The result has at most (mean number of distinct words) / common_share entries,
-    however many records there are.
+    Counted over every record, `counted` of them at a time; of these a record is passed over if one before it is nearly
+    the same (see `_covered`), so that neither copies nor a large group of near-duplicates make their own words common.
+    Counts below 1/`slack` of the share within a batch are not passed on, so that a shingle may lack that much of
+    its count: whatever reaches the share in full is in, whatever stays below (1 - 1/slack) of it is not. So there are
+    about (mean number of shingles) / common_share of them at most, however many records there are.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, seen = [], set()
+        waiting, n = [], 0
         for _, texts in _chunks(batches, p.chunk):
-            words, counts = word_hashes(texts)
-            first = np.array([c not in seen and not seen.add(c) for c in _classes(words, counts).tolist()], bool)
-            waiting.append(unique_per_text(words[np.repeat(first, counts)], counts[first])[0])
-            if len(waiting) == 32:
+            waiting.append(unique_per_text(*shingle_hashes(*word_hashes(texts), p.shingle)))
+            n += len(texts)
+            if n >= p.counted:
                 yield tally(waiting)
-                waiting = []
-        if waiting:
+                waiting, n = [], 0
+        if n:
             yield tally(waiting)
 
-    def tally(waiting: list[np.ndarray]) -> pa.RecordBatch:
-        words, n = np.unique(np.concatenate(waiting), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n, pa.int64())], names=["word", "n"])
-
-    counts = contents.select("content").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    least = max(p.common_least, p.common_share * contents.count())
-    rows = counts.where(F.col("n") >= least).select("word").collect()
+    def tally(waiting: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        shingles, sizes = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        own = ~_covered(shingles, sizes)
+        shingles, times = np.unique(shingles[np.repeat(own, sizes)], return_counts=True)
+        often = times >= p.common_share * own.sum() / p.slack
+        shingles, times = np.append(shingles[often].view(np.int64), 0), np.append(times[often], own.sum())  # 0 stands for the records
+        return pa.RecordBatch.from_arrays([pa.array(shingles), pa.array(times, pa.int64())], names=["shingle", "n"])
+
+    counts = contents.select("content").mapInArrow(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = cut(counts.where((F.col("n") >= p.common_least * (1 - 1 / p.slack)) | (F.col("shingle") == 0)))
+    records = counts.where("shingle = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = counts.where((F.col("shingle") != 0) & (F.col("n") >= p.common_share * records * (1 - 1 / p.slack))).select("shingle").collect()
     return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
 
 
-def _classes(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A hash of the word sequence of each text; 0 for one without words."""
-    first = np.cumsum(counts) - counts
-    place = np.arange(len(words)) - np.repeat(first, counts)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(words + mix(place.astype(np.uint64))))])
-    return sums[first + counts] - sums[first]
+def _covered(shingles: np.ndarray, sizes: np.ndarray, bins: int = 32, width: int = 6, similar: float = 0.4) -> np.ndarray:
+    """Whether a record resembles one before it, of sets of distinct hashes that come ascending.
+
+    The least hash in each of 32 ranges is a sketch of the set. Records whose sketches agree in `width` successive ranges
+    are compared by the whole sketch, each with the last three before it. Of a group of near-duplicates some ten
+    records come before the others resemble them, whatever the size of the group. Empty sets count as covered.
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = owner * bins + (shingles >> np.uint64(59)).astype(np.int64)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    sketch = np.zeros(len(sizes) * bins, np.uint64)
+    sketch[place[first]] = shingles[first]
+    sketch = sketch.reshape(-1, bins)
+    out = sizes == 0
+    for k in range(bins - width + 1):
+        key = mix(sketch[:, k : k + width] + np.arange(1, width + 1, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        for back in (1, 2, 3):
+            later = np.flatnonzero((key[back:] == key[:-back]) & ~out[order[back:]])
+            x, y = sketch[order[later]], sketch[order[later + back]]
+            agree, either = ((x == y) & (y > 0)).sum(axis=1), ((x > 0) | (y > 0)).sum(axis=1)
+            out[order[later + back][agree >= similar * np.maximum(either, 1)]] = True
+    return out
 
 
 def _multipliers(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def _symbols(shingles: np.ndarray, weights: np.ndarray | np.uint64, starts: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-    least = np.stack([np.minimum.reduceat(((shingles * m) >> np.uint64(32)) * weights, starts) for m in multipliers], axis=1)
-    return (mix(least) & np.uint64(0xFFFF)).astype("<u2")
-
-
-def group_leaders(contents: DataFrame, p: NearDup) -> np.ndarray:
-    """Unweighted symbols of members of groups of near-duplicates that are large enough to make their words common.
-
-    Looked for in `sample` records, drawn by the hash of their ids: a group of common_share of all records has about a
-    dozen there, and each member has some of them as near-duplicates. Copies count once. Of members that are alike, one stays.
-    """
-    rows = contents.select("id", "content").where("content IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(p.sample).collect()
-    words, counts = word_hashes([r["content"] for r in rows])
-    long = counts >= max(p.least_words, p.shingle)
-    if not long.any():
-        return np.empty((0, p.symbols), "<u2")
-    words, counts = words[np.repeat(long, counts)], counts[long]
-    once = np.zeros(len(counts), bool)
-    once[np.unique(_classes(words, counts), return_index=True)[1]] = True
-    words, counts = words[np.repeat(once, counts)], counts[once]
-    shingles, n = shingle_hashes(words, counts, p.shingle)
-    ends = np.cumsum(n)
-    symbols = _symbols(shingles, np.uint64(1), ends - n, _multipliers(p.symbols))
-    sets = [set(shingles[e - k : e].tolist()) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-    leaders: list[int] = []
-    for k, mine in enumerate(symbols):
-        agreeing = (symbols == mine).sum(axis=1)
-        near = [j for j in (agreeing >= p.resembling).nonzero()[0].tolist() if j != k]
-        links = 0
-        for j in near:
-            shared = len(sets[j] & sets[k])
-            links += shared >= p.similarity * (len(sets[j]) + len(sets[k]) - shared)
-            if links >= p.sample_links:
-                break
-        if links >= p.sample_links and all((symbols[j] == mine).sum() < p.symbols // 2 for j in leaders):
-            leaders.append(k)
-    return symbols[leaders]
-
-
-def fingerprints(contents: DataFrame, p: NearDup, common: np.ndarray, leaders: np.ndarray | None = None) -> DataFrame:
-    """`contents` with class (a hash of the word sequence), fp (packed symbols) and plain (those without weights, null
-    for records that resemble none of `leaders`) in the place of content.
-
-    Records with fewer than `least_words` words, and null contents, are left out.
-    """
-    keep = [c for c in contents.columns if c != "content"]
-    types = dict(contents.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", class bigint, fp binary, plain binary"
+def fingerprints(rows: DataFrame, p: NearDup, common: np.ndarray) -> DataFrame:
+    """id, at, gone, class (a hash of the word sequence), fp (packed symbols); both null for rows with fewer than
+    `least_words` words, without content, or gone."""
+    types = dict(rows.dtypes)
     need = max(p.least_words, p.shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multipliers = _multipliers(p.symbols)
         for part, texts in _chunks(batches, p.chunk):
             words, counts = word_hashes(texts)
-            long = counts >= need
-            if not long.any():
-                continue
-            owner = np.repeat(np.arange(len(counts)), counts)
-            words, counts = words[long[owner]], counts[long]
-            classes = _classes(words, counts)
-            shingles, n = shingle_hashes(words, counts, p.shingle)
-            weights = _weights(words, counts, common, p)
-            starts = np.cumsum(n) - n
-            fp = _symbols(shingles, weights, starts, multipliers)
-            plain = [None] * len(n)
-            if leaders is not None and len(leaders):
-                unweighted = _symbols(shingles, np.uint64(1), starts, multipliers)
-                most = np.max([(unweighted == one).sum(axis=1) for one in leaders], axis=0)
-                plain = [row.tobytes() if m >= p.resembling else None for row, m in zip(unweighted, most, strict=True)]
-            rest = part.filter(pa.array(long)).select(keep)
-            packed = [pa.array([row.tobytes() for row in fp], pa.binary()), pa.array(plain, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(classes.view(np.int64)), *packed], names=[*keep, "class", "fp", "plain"])
-
-    return contents.mapInArrow(run, schema)
-
-
-def _weights(words: np.ndarray, counts: np.ndarray, common: np.ndarray, p: NearDup) -> np.ndarray:
-    """Per shingle, the factor of its hashes: `common_weight` if all its words are common, else 1."""
+            long = (counts >= need) & ~part.column("gone").to_numpy(zero_copy_only=False)
+            classes, packed = np.zeros(len(texts), np.int64), np.zeros((len(texts), 2 * p.symbols), np.uint8)
+            if long.any():
+                words, counts = words[np.repeat(long, counts)], counts[long]
+                classes[long] = _classes(words, counts).view(np.int64)
+                shingles, n = shingle_hashes(words, counts, p.shingle)
+                weights = _weights(shingles, common, p)
+                starts = np.cumsum(n) - n
+                least = np.stack([np.minimum.reduceat(((shingles * m) >> np.uint64(32)) * weights, starts) for m in multipliers], axis=1)
+                packed[long] = (mix(least) & np.uint64(0xFFFF)).astype("<u2").view(np.uint8)
+            fp = [row.tobytes() if ok else None for row, ok in zip(packed, long.tolist(), strict=True)]
+            own = [part.column(c) for c in ("id", "at", "gone")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(classes, mask=~long), pa.array(fp, pa.binary())], names=["id", "at", "gone", "class", "fp"])
+
+    return rows.mapInArrow(run, f"id {types['id']}, at {types['at']}, gone boolean, class bigint, fp binary")
+
+
+def _weights(shingles: np.ndarray, common: np.ndarray, p: NearDup) -> np.ndarray | np.uint64:
+    """The factor of each shingle's hashes: `common_weight` for a common one, else 1."""
     if not len(common):
-        return np.ones(int(np.maximum(counts - p.shingle + 1, 0).sum()), np.uint64)
-    is_common = common[np.minimum(np.searchsorted(common, words), len(common) - 1)] == words
-    last = len(words) - p.shingle + 1
-    every = np.ones(last, bool)
-    for k in range(p.shingle):
-        every &= is_common[k : k + last]
-    owner = np.repeat(np.arange(len(counts)), counts)
-    every = every[owner[:last] == owner[p.shingle - 1 :]]
-    return np.where(every, np.uint64(p.common_weight), np.uint64(1))
+        return np.uint64(1)
+    is_common = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles
+    return np.where(is_common, np.uint64(p.common_weight), np.uint64(1))
 
 
 def _patterns(p: NearDup) -> list[list[int]]:
@@ -211,70 +190,121 @@ def _key(symbols: np.ndarray, k: int, kept: list[int]) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _symbols(packed: pa.Array, p: NearDup) -> np.ndarray:
+    return np.frombuffer(b"".join(packed.to_pylist()), "<u2").reshape(len(packed), p.symbols)
+
+
 def _ball_keys(p: NearDup):
-    """class, key: for each segment, the keys of the Hamming ball of `radius` symbols around its value."""
+    """key, n: for each segment, the keys of the Hamming ball of `radius` symbols around its value."""
     patterns = _patterns(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            symbols = np.frombuffer(b"".join(batch.column("fp").to_pylist()), "<u2").reshape(batch.num_rows, p.symbols).astype(np.uint64)
-            classes = batch.column("class").to_numpy()
+            symbols, n = _symbols(batch.column("fp"), p).astype(np.uint64), batch.column("n")
             for k, kept in enumerate(patterns):
-                yield pa.RecordBatch.from_arrays([pa.array(_key(symbols, k, kept)), pa.array(classes)], names=["key", "class"])
+                yield pa.RecordBatch.from_arrays([pa.array(_key(symbols, k, kept)), n], names=["key", "n"])
 
     return run
 
 
-def candidate_pairs(classes: DataFrame, p: NearDup) -> DataFrame:
-    """a, b: classes (a < b) that meet in a table and whose complete fingerprint distance is small enough."""
-    return _close_pairs(classes, classes.select("class", "fp").mapInArrow(_ball_keys(p), "key bigint, class bigint"), p)
+def _meetings(p: NearDup):
+    """a, b for each two classes (a < b) of a key, from rows that come sorted by key; the classes of keys that have more
+    than `small_key` come out with their key instead, and b null."""
+
+    def emit(a: np.ndarray, b: np.ndarray | None, key: np.ndarray | None) -> pa.RecordBatch:
+        null = pa.nulls(len(a), pa.int64())
+        columns = [pa.array(a), null if b is None else pa.array(b), null if key is None else pa.array(key)]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "key"])
+
+    def pairs(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of whole keys."""
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        sizes = np.diff(np.append(np.flatnonzero(new), len(keys)))
+        size = np.repeat(sizes, sizes)
+        hot = size > p.small_key
+        if hot.any():
+            yield emit(n[hot], None, keys[hot])
+        keys, n = keys[(size > 1) & ~hot], n[(size > 1) & ~hot]
+        for step in range(1, p.small_key):
+            same = np.flatnonzero(keys[step:] == keys[:-step]) if step < len(keys) else np.empty(0, np.int64)
+            if not len(same):
+                return
+            x, y = n[same], n[same + step]
+            yield emit(np.minimum(x, y), np.maximum(x, y), None)
 
-
-def _close_pairs(classes: DataFrame, keys: DataFrame, p: NearDup) -> DataFrame:
-    x, y = keys.select("key", F.col("class").alias("a")), keys.select("key", F.col("class").alias("b"))
-    met = x.join(y, "key").where("a < b").select("a", "b").distinct()
-    fp_a = classes.select(F.col("class").alias("a"), F.col("fp").alias("fp_a"))
-    fp_b = classes.select(F.col("class").alias("b"), F.col("fp").alias("fp_b"))
-    both = met.join(fp_a, "a").join(fp_b, "b")
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
+        spilt = None  # a key of which classes came out before
         for batch in batches:
-            if not batch.num_rows:
+            keys, n = np.concatenate([keys, batch.column("key").to_numpy()]), np.concatenate([n, batch.column("n").to_numpy()])
+            if spilt is not None and len(keys):
+                upto = int(np.searchsorted(keys != spilt, True))
+                if upto:
+                    yield emit(n[:upto], None, keys[:upto])
+                keys, n = keys[upto:], n[upto:]
+                if not len(keys):
+                    continue
+                spilt = None
+            if not len(keys):
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, p.symbols) for c in ("fp_a", "fp_b"))
-            near = pa.array((a == b).sum(axis=1) >= p.least_agreeing)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(near)
+            last = int(np.searchsorted(keys == keys[-1], True))  # the last key may go on in the next batch
+            if last:
+                yield from pairs(keys[:last], n[:last])
+                keys, n = keys[last:], n[last:]
+            if len(keys) > p.small_key:
+                spilt = keys[0]
+                yield emit(n, None, keys)
+                keys, n = keys[:0], n[:0]
+        if len(keys):
+            yield from pairs(keys, n)
 
-    return both.mapInArrow(close, "a bigint, b bigint")
+    return run
 
 
-def hot_pairs(classes: DataFrame, p: NearDup) -> DataFrame:
-    """a, b: classes (a < b) near large groups that meet by their unweighted fingerprints.
+def candidate_pairs(classes: DataFrame, p: NearDup) -> DataFrame:
+    """a, b: classes (a < b) that meet in a table and whose complete fingerprint distance is small enough.
 
-    A key of many classes is split into blocks, and each two of its blocks are one group of at most about 2 * `block`
-    rows, so that no task holds a whole hot key. There, a pair comes out only at the first table in which it meets.
+    `classes`: n, fp. A key of up to `small_key` classes gives their pairs as they stream by. A key of more is split
+    into blocks, and each two of its blocks are one group of at most about 2 * `block` rows, so that no task holds a
+    whole hot key; there, a pair comes out only at the first table in which it meets.
     """
-    hot = cut(classes.where("plain IS NOT NULL").select("class", F.col("plain").alias("fp")))
-    keys = cut(hot.mapInArrow(_ball_keys(p), "key bigint, class bigint"))
-    sized = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
-    few = _close_pairs(hot, sized.where(F.col("n") <= p.small_key).select("key", "class"), p)
-    blocks = F.ceil(F.col("n") / p.block)
-    split = sized.where(F.col("n") > p.small_key).select("key", "class", F.pmod("class", blocks).alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    split = split.select("key", "class", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(hot, "class")
+    keys = classes.select("n", "fp").mapInArrow(_ball_keys(p), "key bigint, n bigint").repartition("key").sortWithinPartitions("key")
+    met = cut(keys.mapInArrow(_meetings(p), "a bigint, b bigint, key bigint"))
+    pairs = met.where("b IS NOT NULL").select("a", "b").distinct()
+    fp_a = classes.select(F.col("n").alias("a"), F.col("fp").alias("fp_a"))
+    fp_b = classes.select(F.col("n").alias("b"), F.col("fp").alias("fp_b"))
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                agreeing = (_symbols(batch.column("fp_a"), p) == _symbols(batch.column("fp_b"), p)).sum(axis=1)
+                yield batch.select(["a", "b"]).filter(pa.array(agreeing >= p.least_agreeing))
+
+    few = pairs.join(fp_a, "a").join(fp_b, "b").select("a", "b", "fp_a", "fp_b").mapInArrow(close, "a bigint, b bigint")
+    hot = met.where("b IS NULL").select("key", F.col("a").alias("n"))
+    sized = hot.join(hot.groupBy("key").agg(F.count("*").alias("size")), "key")
+    split = _in_blocks(sized, "n", "size", p.block).join(classes.select("n", "fp"), "n")
     many = split.groupBy("key", "i", "j").applyInArrow(_block_pairs(p), "a bigint, b bigint")
     return few.unionByName(many).distinct()
 
 
+def _in_blocks(rows: DataFrame, by: str, size: str, block: int) -> DataFrame:
+    """`rows` once for every two blocks i <= j of about `block` rows that theirs is one of; own is theirs."""
+    blocks = F.ceil(F.col(size) / block)
+    split = rows.withColumns({"own": F.pmod(F.xxhash64(by), blocks), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    return split.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
+
+
 def _block_pairs(p: NearDup):
     """a, b: the close pairs of two blocks of a key (or of one with itself) that meet in no earlier table."""
     patterns = _patterns(p)
 
     def run(rows: pa.Table) -> pa.Table:
         key, i, j = (rows.column(c)[0].as_py() for c in ("key", "i", "j"))
-        symbols = np.frombuffer(b"".join(rows.column("fp").to_pylist()), "<u2").reshape(-1, p.symbols)
-        classes, own = rows.column("class").to_numpy(), rows.column("own").to_numpy()
+        symbols = _symbols(rows.column("fp"), p)
+        n, own = rows.column("n").to_numpy(), rows.column("own").to_numpy()
         at = next(k for k, kept in enumerate(patterns) if _key(symbols[:1].astype(np.uint64), k, kept)[0] == key)
         x, y = own == i, own == j
         same = [symbols[x, s][:, None] == symbols[y, s][None, :] for s in range(p.symbols)]
@@ -285,107 +315,158 @@ def _block_pairs(p: NearDup):
         for kept in patterns[:at]:
             near &= ~np.logical_and.reduce([same[s] for s in kept])
         u, v = near.nonzero()
-        a, b = classes[x][u], classes[y][v]
+        a, b = n[x][u], n[y][v]
         once = a < b if i == j else slice(None)
-        a, b = np.minimum(a, b)[once], np.maximum(a, b)[once]
-        return pa.table({"a": a, "b": b})
+        return pa.table({"a": np.minimum(a, b)[once], "b": np.maximum(a, b)[once]})
 
     return run
 
 
+#: Bytes of a shingle's hash that sets are compared by: two sets of 1,000 shingles share one by chance once in 10**8 pairs.
+GRAM_BYTES = 6
+
+
 def _shingle_sets(p: NearDup):
-    """class, grams: 32 bits of each distinct shingle's hash, ascending (two sets of a few hundred shingles collide
-    with a probability below 1e-4, and then by one shingle)."""
+    """n, grams: GRAM_BYTES of each distinct shingle's hash, packed; of the texts that are of the class named."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _chunks(batches, p.chunk):
-            shingles, n = shingle_hashes(*word_hashes(texts), p.shingle)
-            grams, n = unique_per_text(shingles >> np.uint64(32), n)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(grams.astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column("class"), lists], names=["class", "grams"])
+            words, counts = word_hashes(texts)
+            own = _classes(words, counts).view(np.int64) == part.column("class").to_numpy()
+            words, counts, part = words[np.repeat(own, counts)], counts[own], part.filter(pa.array(own))
+            shingles, n = unique_per_text(*shingle_hashes(words, counts, p.shingle))
+            packed = np.ascontiguousarray(shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :GRAM_BYTES]).tobytes()
+            ends = (np.cumsum(n) * GRAM_BYTES).tolist()
+            grams = [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            yield pa.RecordBatch.from_arrays([part.column("n"), pa.array(grams, pa.binary())], names=["n", "grams"])
 
     return run
 
 
-def current_contents(history: DataFrame, key: str, at: str, gone: str, content: Column) -> DataFrame:
-    """id, content of the last row of each key by `at`, without keys whose last row is a deletion.
+def _grams(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(the numbers of all sets in order, numbers per set)."""
+    sizes = np.fromiter((len(g) // GRAM_BYTES for g in packed), np.int64, len(packed))
+    whole = np.zeros((int(sizes.sum()), 8), np.uint8)
+    whole[:, :GRAM_BYTES] = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, GRAM_BYTES)
+    return whole.view("<u8").ravel(), sizes
 
-    The rows that stay are told by their keys alone, so that the texts aren't shuffled: the keys that have more than
-    one row or a deletion are written to a table with their last load (broadcast after its size is checked), and the
-    one scan of the texts is held against it. Rows of one key with the same `at` are repeats and all stay; whoever
-    uses them takes one. A null `at` counts as the earliest, null keys are no records.
-    """
-    when = F.coalesce(F.col(at).cast("timestamp_ntz"), F.expr("TIMESTAMP_NTZ'0001-01-01 00:00:00'"))
-    rows = history.where(F.col(key).isNotNull()).select(
-        F.col(key).alias("id"), when.alias("at"), F.coalesce(F.col(gone), F.lit(False)).alias("gone"), content.alias("content")
-    )
-    state = rows.groupBy("id").agg(F.count("*").alias("n"), F.max("at").alias("last_at"), F.max_by("gone", "at").alias("last_gone"))
-    odd = cut(state.where((F.col("n") > 1) | F.col("last_gone")))
-    held = rows.join(small_side(odd), "id", "left")
-    last = (F.col("at") == F.col("last_at")) & ~F.col("last_gone")
-    return held.where(F.col("n").isNull() | last).select("id", "content")
+
+def _exact(p: NearDup):
+    """a, b, similarity of the pairs whose sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                part = batch.slice(k, 4096)
+                tagged, both = [], 0
+                for c in ("grams_a", "grams_b"):
+                    grams, sizes = _grams(part.column(c).to_pylist())
+                    tagged.append((np.repeat(np.arange(part.num_rows, dtype=np.uint64), sizes) << np.uint64(8 * GRAM_BYTES)) | grams)
+                    both = both + sizes
+                merged = np.sort(np.concatenate(tagged))
+                twice = merged[1:][merged[1:] == merged[:-1]] >> np.uint64(8 * GRAM_BYTES)
+                shared = np.bincount(twice.astype(np.int64), minlength=part.num_rows)
+                similarity = shared / np.maximum(both - shared, 1)
+                near = pa.array(similarity >= p.similarity)
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(similarity)], names=["a", "b", "similarity"]).filter(near)
+
+    return run
+
+
+def _group_links(p: NearDup):
+    """a, b, similarity: the links of two blocks of a group (or of one with itself), each two sets compared."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        i, j = (rows.column(c)[0].as_py() for c in ("i", "j"))
+        n, own = rows.column("n").to_numpy(), rows.column("own").to_numpy()
+        grams, sizes = _grams(rows.column("grams").to_pylist())
+        x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        owner = np.repeat(np.arange(len(n)), sizes)
+        _, number, times = np.unique(grams, return_inverse=True, return_counts=True)
+        owner, number = owner[times[number] > 1], number[times[number] > 1]
+        order = np.argsort(number, kind="stable")
+        owner, number = owner[order], number[order]
+        number = np.cumsum(np.diff(number, prepend=number[:1]) != 0) if len(number) else number
+        shared = np.zeros((len(x), len(y)), np.float32)
+        width = 2048
+        for first in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+            lo, hi = np.searchsorted(number, [first, first + width])
+            has = np.zeros((len(n), width), np.float32)
+            has[owner[lo:hi], number[lo:hi] - first] = 1
+            shared += has[x] @ has[y].T
+        similarity = shared.astype(np.float64) / (sizes[x][:, None] + sizes[y][None, :] - shared.astype(np.float64))
+        u, v = (similarity >= p.similarity).nonzero()
+        a, b, value = n[x][u], n[y][v], similarity[u, v]
+        once = a < b if i == j else slice(None)
+        return pa.table({"a": np.minimum(a, b)[once], "b": np.maximum(a, b)[once], "similarity": value[once]})
+
+    return run
 
 
 def near_duplicates(records: DataFrame, p: NearDup) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of `records` (id, content).
+    """(members, links) of `records` (id, content; in a load history also at, gone, see `history`).
 
-    members: id, class for every record with enough words; records with the same word sequence share a class.
+    members: id, n for every record with enough words; records with the same word sequence share the class n.
     links: a, b, similarity for each pair of classes (a < b) whose sets of shingles have at least the similarity.
 
+    Of an id's rows the last by `at` counts; of rows with the same `at` a deletion, else the one of the greatest class.
     Null, empty and short contents are no members. Exact copies are one class, so that a group of copies with a
-    third of all rows meets itself only once. Repeated rows of an id count once; if their contents differ, the
-    least class is the id's. An empty table gives empty tables.
+    third of all rows meets itself only once. An empty table gives empty tables. Texts are read in place three times,
+    and shuffled once, with the ids of those that are to be compared exactly.
     """
-    common = common_words(records, p)
-    leaders = group_leaders(records, p) if len(common) else None
-    members = cut(fingerprints(records.select("id", "content"), p, common, leaders))
-    classes = members.groupBy("class").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("plain").alias("plain"))
-    pairs = cut(candidate_pairs(classes, p))
-    if leaders is not None and len(leaders):
-        pairs = cut(pairs.unionByName(hot_pairs(classes, p)).distinct())
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    readers = cut(classes.select("class", "id").join(involved, "class", "left_semi"))
-    texts = records.select("id", "content").join(small_side(readers), "id").select("class", "content")
-    sets = texts.mapInArrow(_shingle_sets(p), "class bigint, grams array<int>").groupBy("class").agg(F.min("grams").alias("grams"))
-    shared = F.size(F.array_intersect("grams_a", "grams_b"))
-    union = F.size("grams_a") + F.size("grams_b") - shared
-    links = (
-        pairs.join(sets.select(F.col("class").alias("a"), F.col("grams").alias("grams_a")), "a")
-        .join(sets.select(F.col("class").alias("b"), F.col("grams").alias("grams_b")), "b")
-        .select("a", "b", (shared / union).alias("similarity"))
-        .where(F.col("similarity") >= p.similarity)
-    )
-    return members.groupBy("id").agg(F.min("class").alias("class")), links
+    if "at" not in records.columns or "gone" not in records.columns:
+        records = records.select("id", F.lit(0).alias("at"), F.lit(False).alias("gone"), "content")
+    records = records.select("id", "at", "gone", "content").where("id IS NOT NULL")
+    common = common_shingles(records, p)
+    state = fingerprints(records, p, common).groupBy("id").agg(F.max(F.struct("at", "gone", "class", "fp")).alias("r"))
+    current = cut(state.select("id", "r.*").where("NOT gone AND class IS NOT NULL").select("id", "at", "class", "fp"))
+    one = current.groupBy("class").agg(F.min(F.struct("id", "at", "fp")).alias("r"))
+    classes = cut(one.select("class", "r.*").withColumn("n", F.monotonically_increasing_id()))
+    pairs = cut(candidate_pairs(classes.select("n", "fp"), p))
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+    readers = classes.select("n", "class", "id", "at").join(involved, "n", "left_semi")
+    texts = records.where("NOT gone").select("id", "at", "content").join(readers, ["id", "at"]).select("n", "class", "content")
+    sets = cut(texts.mapInArrow(_shingle_sets(p), "n bigint, grams binary").dropDuplicates(["n"]))
+    both = pairs.join(sets.select(F.col("n").alias("a"), F.col("grams").alias("grams_a")), "a").join(sets.select(F.col("n").alias("b"), F.col("grams").alias("grams_b")), "b")
+    links = cut(both.select("a", "b", "grams_a", "grams_b").mapInArrow(_exact(p), "a bigint, b bigint, similarity double"))
+    return current.select("id", "class").join(classes.select("class", "n"), "class").select("id", "n"), complete(links, sets, p)
+
+
+def complete(links: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
+    """`links` with those that the tables missed within a group: every two classes of a group of three or more are
+    compared by their sets, in blocks, so that no task holds a whole group."""
+    roots = cut(components(links))
+    sized = roots.groupBy("root").agg(F.count("*").alias("size"))
+    large = roots.join(sized.where("size > 2"), "root")
+    split = _in_blocks(large, "n", "size", p.block).join(sets, "n")
+    found = split.groupBy("root", "i", "j").applyInArrow(_group_links(p), "a bigint, b bigint, similarity double")
+    small = links.join(large.select(F.col("n").alias("a")), "a", "left_anti")
+    return cut(small.unionByName(found))
 
 
 def expand_pairs(members: DataFrame, links: DataFrame, p: NearDup) -> DataFrame:
     """id_a, id_b (id_a < id_b): all pairs of records of linked classes, and all pairs of copies within a class.
 
-    In a class of more than `expand_copies` exact copies, its least id stands for all of them, and each copy is
-    paired with that one only: no link between different texts is lost, and the output stays linear in the copies.
+    The rows are as many as the pairs, in a class of copies the square of their number; `groups` has a row for each
+    record instead. Copies are paired in blocks, so that no task holds a whole class.
     """
-    sized = members.groupBy("class").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    many = sized.where(F.col("n") > 1)
-    copies = members.join(many, "class")
-    small, large = copies.where(F.col("n") <= p.expand_copies), copies.where(F.col("n") > p.expand_copies)
-    left, right = small.select("class", F.col("id").alias("id_a")), small.select("class", F.col("id").alias("id_b"))
-    within = left.join(right, "class").where("id_a < id_b").select("id_a", "id_b")
-    stars = large.where(F.col("id") != F.col("least")).select(F.col("least").alias("id_a"), F.col("id").alias("id_b"))
-    speaking = members.join(sized, "class").where((F.col("n") <= p.expand_copies) | (F.col("id") == F.col("least"))).select("class", "id")
-    x = speaking.select(F.col("class").alias("a"), F.col("id").alias("x"))
-    y = speaking.select(F.col("class").alias("b"), F.col("id").alias("y"))
-    across = links.select("a", "b").join(x, "a").join(y, "b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    return within.unionByName(stars).unionByName(across)
-
-
-def groups(members: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
-    """id, group_id, n_links: the records that belong together, directly or through others.
-
-    Connected components by alternating large-star and small-star steps until nothing changes; each round is a
-    shuffle of the links and is written to the shared folder. group_id is the least id of the group.
+    members = cut(members)
+    sized = members.groupBy("n").agg(F.count("*").alias("size")).where("size > 1")
+    copies = _in_blocks(members.join(sized, "n"), "id", "size", p.block)
+    left = copies.where("own = i").select("n", "i", "j", F.col("id").alias("x"))
+    right = copies.where("own = j").select("n", "i", "j", F.col("id").alias("y"))
+    within = left.join(right, ["n", "i", "j"]).where("i < j OR x < y")
+    x, y = members.select(F.col("n").alias("a"), F.col("id").alias("x")), members.select(F.col("n").alias("b"), F.col("id").alias("y"))
+    across = links.select("a", "b").join(x, "a").join(y, "b")
+    return within.select("x", "y").unionByName(across.select("x", "y")).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+
+def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """n, root: the classes that belong together, directly or through others, with the least of them; itself too.
+
+    Alternating large-star and small-star steps until nothing changes; each round is a shuffle of the links and is
+    written to the shared folder.
     """
-    degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     before = None
     for _ in range(rounds):
@@ -396,9 +477,15 @@ def groups(members: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError("the components did not settle")
-    roots = edges.select(F.col("u").alias("class"), F.col("v").alias("root"))
-    of_class = members.join(roots, "class", "left").join(degree, "class", "left").select(
-        "id", F.coalesce("root", "class").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    return edges.select(F.col("u").alias("n"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("n"), F.col("v").alias("root")).distinct())
+
+
+def groups(members: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
+    """id, group_id, n_links: each record with the group that it belongs to, directly or through others, named by its
+    least id, and the number of links of its class."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count("*").alias("n_links"))
+    of_class = members.join(components(links, rounds), "n", "left").join(degree, "n", "left").select(
+        "id", F.coalesce("root", "n").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
     least = of_class.groupBy("root").agg(F.min("id").alias("group_id"))
     return of_class.join(least, "root").select("id", "group_id", "n_links")

@@ -19,10 +19,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    """id, content of the current records. Superseded rows are found by their keys alone, without moving texts."""
+    """The load history of the records, each row with its content."""
     rows = table(spark, d, "corpus_ds")
     content = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title", "text", "passage")])
-    return neardup.current_contents(rows, "_id", "loaded_at", "deleted", content)
+    return neardup.history(rows, "_id", "loaded_at", "deleted", content)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -34,7 +34,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     """Each record with the group of near-duplicates that it belongs to and its number of links."""
     members, links = neardup.near_duplicates(_records(spark, d), NEAR_RECORDS)
-    return neardup.groups(members, neardup.cut(links))
+    return neardup.groups(members, links)
 
 
 def _roster(spark: SparkSession, d: str) -> DataFrame:
