@@ -39,12 +39,13 @@ class NearDup:
     segments: int = 14
     width: int = 3
     radius: int = 1
-    least_agreeing: int = 4
+    least_agreeing: int = 5
     common_share: float = 0.003
     common_least: int = 500
     common_weight: int = 64
     small_key: int = 64  # classes of a key up to which they are paired as they stream by; others are split into blocks
     block: int = 512  # classes that are compared with as many others at once
+    gathered: int = 100_000  # rows of keys paired at once
     chunk: int = 512  # texts hashed at once, so that the arrays stay in the processor's cache
     counted: int = 16384  # records whose shingles are counted at once
     slack: int = 8  # counts of less than 1 in `slack` of the common share in such a batch are not passed on
@@ -237,22 +238,20 @@ def _meetings(p: NearDup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
         spilt = None  # a key of which classes came out before
-        for batch in batches:
-            keys, n = np.concatenate([keys, batch.column("key").to_numpy()]), np.concatenate([n, batch.column("n").to_numpy()])
-            if spilt is not None and len(keys):
-                upto = int(np.searchsorted(keys != spilt, True))
+        for more_keys, more_n in _gathered(batches, ("key", "n"), p.gathered):
+            keys, n = np.concatenate([keys, more_keys]), np.concatenate([n, more_n])
+            if spilt is not None:
+                upto = _run_length(keys == spilt)
                 if upto:
                     yield emit(n[:upto], None, keys[:upto])
                 keys, n = keys[upto:], n[upto:]
                 if not len(keys):
                     continue
                 spilt = None
-            if not len(keys):
-                continue
-            last = int(np.searchsorted(keys == keys[-1], True))  # the last key may go on in the next batch
-            if last:
-                yield from pairs(keys[:last], n[:last])
-                keys, n = keys[last:], n[last:]
+            whole = len(keys) - _run_length(keys[::-1] == keys[-1])  # the last key may go on in the next batch
+            if whole:
+                yield from pairs(keys[:whole], n[:whole])
+                keys, n = keys[whole:], n[whole:]
             if len(keys) > p.small_key:
                 spilt = keys[0]
                 yield emit(n, None, keys)
@@ -263,6 +262,45 @@ def _meetings(p: NearDup):
     return run
 
 
+def _run_length(same: np.ndarray) -> int:
+    """How many of the first places are true."""
+    return len(same) if same.all() else int(same.argmin())
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], rows: int) -> Iterator[list[np.ndarray]]:
+    """The columns of some batches at once, of `rows` rows or more."""
+    waiting: list[list[np.ndarray]] = []
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append([batch.column(c).to_numpy() for c in columns])
+        if sum(len(w[0]) for w in waiting) >= rows:
+            yield [np.concatenate(c) for c in zip(*waiting, strict=True)]
+            waiting = []
+    if waiting:
+        yield [np.concatenate(c) for c in zip(*waiting, strict=True)]
+
+
+def _by_group(keys: list[str], run):
+    """A function of whole groups, for rows that come sorted by `keys` (integers) in batches."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([kept, rows]) if kept is not None else rows
+            place = np.stack([rows.column(k).to_numpy() for k in keys])
+            edges = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1
+            for first, end in zip([0, *edges.tolist()], edges.tolist(), strict=False):
+                yield from run(rows.slice(first, end - first)).to_batches()
+            kept = rows.slice(int(edges[-1]) if len(edges) else 0)
+        if kept is not None:
+            yield from run(kept).to_batches()
+
+    return stream
+
+
 def candidate_pairs(classes: DataFrame, p: NearDup) -> DataFrame:
     """a, b: classes (a < b) that meet in a table and whose complete fingerprint distance is small enough.
 
@@ -286,7 +324,7 @@ def candidate_pairs(classes: DataFrame, p: NearDup) -> DataFrame:
     hot = met.where("b IS NULL").select("key", F.col("a").alias("n"))
     sized = hot.join(hot.groupBy("key").agg(F.count("*").alias("size")), "key")
     split = _in_blocks(sized, "n", "size", p.block).join(classes.select("n", "fp"), "n")
-    many = split.groupBy("key", "i", "j").applyInArrow(_block_pairs(p), "a bigint, b bigint")
+    many = split.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_by_group(["key", "i", "j"], _block_pairs(p)), "a bigint, b bigint")
     return few.unionByName(many).distinct()
 
 
@@ -381,6 +419,8 @@ def _group_links(p: NearDup):
         n, own = rows.column("n").to_numpy(), rows.column("own").to_numpy()
         grams, sizes = _grams(rows.column("grams").to_pylist())
         x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        if not len(x) or not len(y):
+            return pa.table({"a": n[:0], "b": n[:0], "similarity": np.empty(0)})
         owner = np.repeat(np.arange(len(n)), sizes)
         _, number, times = np.unique(grams, return_inverse=True, return_counts=True)
         owner, number = owner[times[number] > 1], number[times[number] > 1]
@@ -433,15 +473,17 @@ def near_duplicates(records: DataFrame, p: NearDup) -> tuple[DataFrame, DataFram
 
 
 def complete(links: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
-    """`links` with those that the tables missed within a group: every two classes of a group of three or more are
-    compared by their sets, in blocks, so that no task holds a whole group."""
+    """`links` with those that the tables missed within a group: in a group of which not every two classes are linked,
+    every two are compared by their sets, in blocks, so that no task holds a whole group."""
     roots = cut(components(links))
     sized = roots.groupBy("root").agg(F.count("*").alias("size"))
-    large = roots.join(sized.where("size > 2"), "root")
-    split = _in_blocks(large, "n", "size", p.block).join(sets, "n")
-    found = split.groupBy("root", "i", "j").applyInArrow(_group_links(p), "a bigint, b bigint, similarity double")
-    small = links.join(large.select(F.col("n").alias("a")), "a", "left_anti")
-    return cut(small.unionByName(found))
+    linked = links.join(roots.withColumnRenamed("n", "a"), "a").groupBy("root").agg(F.count("*").alias("n_links"))
+    open_ = sized.join(linked, "root").where(F.col("n_links") < F.col("size") * (F.col("size") - 1) / 2).select("root", "size")
+    partial = cut(roots.join(open_, "root"))
+    split = _in_blocks(partial, "n", "size", p.block).join(sets, "n").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    found = split.mapInArrow(_by_group(["root", "i", "j"], _group_links(p)), "a bigint, b bigint, similarity double")
+    whole = links.join(partial.select(F.col("n").alias("a")), "a", "left_anti")
+    return cut(whole.unionByName(found))
 
 
 def expand_pairs(members: DataFrame, links: DataFrame, p: NearDup) -> DataFrame:
