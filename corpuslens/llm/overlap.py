@@ -1,26 +1,35 @@
-"""Same or near-same texts across splits, by a prefix-filter join in the place of a suffix array.
-
-A text is reduced to its distinct words in one global order: rare words first (words in at least `common_share` of
-all texts come last, by their counts; the others are ordered by their hash). Two texts that differ in spelling, order
-or some words are then two sorted lists with long runs in common. The needed suffixes of these lists are joined by their
-leading word; nothing is sorted globally and no neighbours are compared. Each shared word leads a suffix on both sides,
-and words of a common prefix are shared, so the coverage by all common spans, merged, is the number of shared words; it
-is counted over whole texts.
-
-Two sets of a and b words that share at least the part t of their union have a common word among the first
-a - ceil(t * a) + 1 words of the one and the first b - ceil(t * b) + 1 of the other, so only suffixes that start there
-are needed to meet each such pair; the words that may be shared from a common start on bound the pairs further.
+"""Same or near-same texts across splits, by a suffix array over all texts.
+
+A text is reduced to its distinct words in one global order, rare words first (words in at least `common_share` of all
+texts come last, by their counts; the others are ordered by their hash), and a mark for its end: two texts that differ
+in spelling, order or some words are then two sequences with long runs in common. All these sequences stand one after
+the other, and their suffixes are sorted globally: range partitions, each sorted, with what a suffix has in common with
+the one before it, and the edges of the partitions exchanged. Neighbours with a common prefix of at least
+`least_span` words make an interval; within it, suffixes of different splits that don't go on to the left share a span.
+
+Two sets of a and b words that share at least the part t of their union, more than half, have a span of two places or more
+(the end counts) among the first places: they differ in fewer words than they share, so that some two shared ones stand side by
+side, and at most twice as many places come before the first such two as words differ. So only suffixes that start there
+are needed to meet each such pair. Pairs that can't share enough are left out by their places, the others are compared
+over their whole sets of words; merged over all common spans, the words covered are the shared ones.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.plans.lineage import cut
 
-#: Words of a suffix that are kept to bound what a pair can share; the words beyond count as shared there.
-SPAN_WORDS = 8
+#: Words by which suffixes are sorted. Suffixes that agree in all of them stand in one interval in any order.
+SORTED_WORDS = 8
+#: The end of a text comes after all words; common words after rare ones, whose numbers are their hashes.
+END, COMMON = 2**63 - 1, 2**62
 
 
 def words(text: Column) -> Column:
@@ -29,7 +38,8 @@ def words(text: Column) -> Column:
 
 
 def ordered_words(texts: DataFrame, common_share: float = 0.002) -> DataFrame:
-    """text_id, words: the distinct words of each text, rare ones first. Texts without words are left out.
+    """text_id, words, numbers: the distinct words of each text, rare ones first, and the numbers that order them.
+    Texts without words are left out.
 
     Only the common words are ordered by their counts. There are at most (mean number of words) / common_share of
     them, however many texts there are, so they are broadcast; the counts are over all texts.
@@ -37,73 +47,128 @@ def ordered_words(texts: DataFrame, common_share: float = 0.002) -> DataFrame:
     w = cut(texts.select("text_id", words(F.col("text")).alias("words")).where(F.size("words") > 0))
     n = w.agg(F.count("*")).first()[0]
     counts = w.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, common_share * n))
-    rank = {r["word"]: r["n"] for r in counts.collect()}
-    if not rank:
-        return w.select("text_id", F.array_sort("words").alias("words"))
+    rank = {r["word"]: i for i, r in enumerate(sorted(counts.collect(), key=lambda r: (r["n"], r["word"])))}
     ranks = F.broadcast(texts.sparkSession.createDataFrame([(rank,)], "ranks map<string,bigint>"))
-    keyed = F.transform("words", lambda x: F.struct(F.coalesce(F.try_element_at("ranks", x), F.lit(0)).alias("n"), F.xxhash64(x).alias("h"), x.alias("w")))
-    return w.crossJoin(ranks).select("text_id", F.transform(F.array_sort(keyed), lambda x: x["w"]).alias("words"))
-
-
-def suffix_array(sets: DataFrame, similarity: float) -> DataFrame:
-    """set_id, size, start, lead, suffix: the needed suffixes, partitioned by leading word and sorted."""
-    size = F.size("words")
-    starts = F.sequence(F.lit(0), size - F.ceil(F.lit(similarity) * size).cast("int"))
-    s = sets.select("set_id", size.alias("size"), "words", F.explode(starts).alias("start"))
-    suffix = F.slice("words", F.col("start") + 1, SPAN_WORDS)
-    return s.select("set_id", "size", "start", suffix[0].alias("lead"), suffix.alias("suffix"))
-
+    number = lambda x: F.coalesce(F.try_element_at("ranks", x) + F.lit(COMMON), F.xxhash64(x).bitwiseAND(F.lit(COMMON - 1)))
+    keyed = F.array_sort(F.transform("words", lambda x: F.struct(number(x).alias("k"), x.alias("w"))))
+    return w.crossJoin(ranks).select("text_id", keyed.alias("keyed")).select("text_id", F.col("keyed.w").alias("words"), F.col("keyed.k").alias("numbers"))
+
+
+def least_span(similarity: float) -> int:
+    """Places of the span that any two sets of that similarity have in common, with the end of the text."""
+    return 2 if similarity > 0.5 else 1
+
+
+def suffixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """set_id, size, start, before (the number of the word to its left), suffix (the first SORTED_WORDS numbers) of the
+    suffixes that are needed to meet every pair."""
+    size = F.size("numbers")
+    differ = size - F.ceil(F.lit(similarity) * size - F.lit(1e-9))  # words that the other set may lack
+    extra = F.floor((size - differ) / F.lit(similarity) - size + F.lit(1e-9))  # and words that it may have besides
+    last = F.when(F.lit(least_span(similarity)) == 2, 2 * differ + F.greatest(extra, F.lit(0))).otherwise(differ)
+    starts = F.sequence(F.lit(0), F.least(last, size - 1).cast("int"))
+    s = sets.select("set_id", "in_train", "in_eval", size.alias("size"), F.concat("numbers", F.array(F.lit(END))).alias("numbers"), F.explode(starts).alias("start"))
+    return s.select(
+        "set_id", "in_train", "in_eval", "size", "start", F.when(F.col("start") > 0, F.get("numbers", F.col("start") - 1)).alias("before"),
+        F.slice("numbers", F.col("start") + 1, SORTED_WORDS).alias("suffix"),
+    )
 
-def common_prefix(a: Column, b: Column) -> Column:
-    """Words that two suffixes have in common before they part."""
-    same = F.transform(F.arrays_zip(a.alias("x"), b.alias("y")), lambda z: F.coalesce(z["x"] == z["y"], F.lit(False)))
-    parting = F.array_position(same, False)
-    return F.when(parting == 0, F.size(same)).otherwise(parting - 1).cast("int")
 
+def suffix_array(needed: DataFrame, span: int) -> DataFrame:
+    """`needed` in the order of its suffixes, with interval: the same number for neighbours, and all between them, whose
+    common prefixes have `span` words.
 
-def shared_spans(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
-    """x, y: pairs of a set of `left` and one of `right` with a common leading word from which on both can hold enough
-    common words."""
-    a = suffix_array(left, similarity).select(*[F.col(c).alias(f"{c}_x") for c in ("set_id", "size", "start", "suffix")], "lead")
-    b = suffix_array(right, similarity).select(*[F.col(c).alias(f"{c}_y") for c in ("set_id", "size", "start", "suffix")], "lead")
+    Written once sorted. The common prefix with the suffix before is taken within each partition; whether the first interval of a
+    partition goes on from the one before is told by the edges of the partitions, one row for each.
+    """
+    spark = needed.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = ", ".join([*(f"{c} {kind}" for c, kind in needed.dtypes), "part int", "interval bigint"])
+    ordered = needed.repartitionByRange(parts, "suffix", "set_id").sortWithinPartitions("suffix", "set_id")
+    array = cut(ordered.mapInArrow(_intervals(span), schema))
+    prefix = F.slice("suffix", 1, span)
+    edges = array.groupBy("part").agg(
+        F.min("interval").alias("first"), F.max("interval").alias("last"),
+        F.min_by(prefix, "interval").alias("first_prefix"), F.max_by(prefix, "interval").alias("last_prefix"),
+    )
+    joined, last, name = [], None, {}
+    for e in sorted(edges.collect(), key=lambda e: e["part"]):  # one row for each partition
+        own = (e["part"], e["first"])
+        if last is not None and len(e["first_prefix"]) == span and e["first_prefix"] == last[1]:
+            name[own] = name.get(last[0], last[0])
+            joined.append((*own, *name[own]))
+        last = (e["part"], e["last"]), e["last_prefix"]
+    goes_on = F.broadcast(spark.createDataFrame(joined, "part int, interval bigint, to_part int, to_interval bigint"))
+    return array.join(goes_on, ["part", "interval"], "left").withColumns({"part": F.coalesce("to_part", "part"), "interval": F.coalesce("to_interval", "interval")}).drop("to_part", "to_interval")
+
+
+def _intervals(span: int):
+    """The rows of a sorted partition with its number and that of their interval in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, interval, before = TaskContext.get().partitionId(), -1, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("suffix")
+            sizes = np.minimum(lists.value_lengths().to_numpy(), span)
+            flat, starts = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy()) - lists.value_lengths().to_numpy()
+            prefix = np.full((batch.num_rows, span), -1, np.int64)  # what is missing in a short suffix is no word
+            for k in range(span):
+                prefix[sizes > k, k] = flat[starts[sizes > k] + k]
+            above = np.vstack([before if before is not None else np.full((1, span), -1, np.int64), prefix[:-1]])
+            common = np.minimum.accumulate((prefix == above) & (prefix >= 0), axis=1).sum(axis=1)
+            numbers = interval + np.cumsum(common < span)
+            interval, before = int(numbers[-1]), prefix[-1:]
+            columns = [*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(numbers, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "part", "interval"])
+
+    return run
+
+
+def shared_spans(array: DataFrame, similarity: float) -> DataFrame:
+    """x, y: pairs of an eval set and a train set with a common span from which on, and before which, they can share
+    enough words. A span is met where it begins, not at each of its words."""
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("set_id", "size", "start", "before")]
+    a = array.where("in_eval").select("part", "interval", *side("x"))
+    b = array.where("in_train").select("part", "interval", *side("y"))
     enough = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size_x") + F.col("size_y")) - F.lit(1e-9))
-    # At the first word that two sets have in common, all their common words are in the suffixes: at most as many as the
-    # shorter has, and as the kept words share with what lies beyond SPAN_WORDS added.
-    ahead = F.least(F.col("size_x") - F.col("start_x"), F.col("size_y") - F.col("start_y"))
-    beyond = [F.greatest(F.col(f"size_{c}") - F.col(f"start_{c}") - SPAN_WORDS, F.lit(0)) for c in "xy"]
-    shared = F.size(F.array_intersect("suffix_x", "suffix_y")) + beyond[0] + beyond[1]
-    met = a.join(b, "lead").where((ahead >= enough) & (shared >= enough))
+    # a shared word stands before the span in both sets or from it on in both, as both are in the same order
+    possible = F.least("start_x", "start_y") + F.least(F.col("size_x") - F.col("start_x"), F.col("size_y") - F.col("start_y"))
+    begins = F.col("before_x").isNull() | F.col("before_y").isNull() | (F.col("before_x") != F.col("before_y"))
+    met = a.join(b, ["part", "interval"]).where((possible >= enough) & begins)
     return met.select(F.col("set_id_x").alias("x"), F.col("set_id_y").alias("y")).distinct()
 
 
 def split_overlaps(roster: DataFrame, texts: DataFrame, evals: list[str], train: str, similarity: float) -> DataFrame:
-    """eval_split, qid_a, qid_b, similarity, covered: overlaps of the eval splits with train; covered is the number of
-    words that both texts have, over whole texts.
+    """eval_split, eval_qid, qid_a, qid_b, similarity, covered: overlaps of the eval splits with train; covered is the
+    number of words in common spans, over whole texts.
 
     `roster`: split, qid (a record may be in several splits); `texts`: qid, text. A pair is one record in both splits,
-    or two whose sets of words share at least `similarity` of their union; the smaller id stands first, and rows are
-    distinct. Records without any word, without text or with null ids or splits are no cases. Equal sets of words are
-    compared once, whatever their number of records; the records come in again at the end.
+    or two whose sets of words share at least `similarity` (half or more) of their union; the smaller id stands first, and
+    rows are distinct: two records that both stand in an eval split and in train are an overlap of either of them. Records
+    without any word, without text or with null ids or splits are no cases. Equal sets of words are compared once,
+    whatever their number of records; the records come in again at the end.
     """
     r = roster.where(F.col("split").isin(*evals, train) & F.col("qid").isNotNull()).select("split", "qid").distinct()
     t = texts.where(F.col("qid").isNotNull() & F.col("text").isNotNull()).join(r.select("qid").distinct(), "qid", "left_semi")
-    records = ordered_words(t.select(F.col("qid").alias("text_id"), "text")).select(F.col("text_id").alias("qid"), "words")
-    entries = cut(records.withColumn("set_id", F.xxhash64(F.array_join("words", " "))).join(r, "qid").select("split", "qid", "set_id", "words"))
-    sets = cut(
-        entries.groupBy("set_id").agg(
-            F.min("words").alias("words"), F.max(F.col("split") == train).alias("in_train"), F.max(F.col("split") != train).alias("in_eval")
-        )
-    )
-    x, y = sets.where("in_eval").select("set_id", "words"), sets.where("in_train").select("set_id", "words")
-    spans = shared_spans(x, y, similarity)
+    records = ordered_words(t.select(F.col("qid").alias("text_id"), "text")).withColumnRenamed("text_id", "qid")
+    entries = cut(records.join(r, "qid").select("split", "qid", "words", "numbers"))
+    one = entries.groupBy("words").agg(F.first("numbers").alias("numbers"), F.max(F.col("split") == train).alias("in_train"), F.max(F.col("split") != train).alias("in_eval"))
+    sets = cut(one.withColumn("set_id", F.monotonically_increasing_id()))
+    array = suffix_array(suffixes(sets, similarity), least_span(similarity))
+    spans = shared_spans(array, similarity)
     shared = F.size(F.array_intersect("words_x", "words_y"))
     pairs = (
-        spans.join(x.select(F.col("set_id").alias("x"), F.col("words").alias("words_x")), "x")
-        .join(y.select(F.col("set_id").alias("y"), F.col("words").alias("words_y")), "y")
-        .select("x", "y", shared.alias("covered"), (shared / (F.size("words_x") + F.size("words_y") - shared)).alias("similarity"))
+        spans.join(sets.select(F.col("set_id").alias("x"), F.col("words").alias("words_x")), "x")
+        .join(sets.select(F.col("set_id").alias("y"), F.col("words").alias("words_y")), "y")
+        .withColumn("covered", shared)
+        .withColumn("similarity", F.col("covered") / (F.size("words_x") + F.size("words_y") - F.col("covered")))
         .where(F.col("similarity") >= similarity)
+        .select("x", "y", "covered", "similarity")
     )
-    of_eval = entries.where(F.col("split") != train).select(F.col("split").alias("eval_split"), F.col("qid").alias("q"), F.col("set_id").alias("x"))
-    of_train = entries.where(F.col("split") == train).select(F.col("qid").alias("p"), F.col("set_id").alias("y"))
+    of = entries.join(sets.select("words", "set_id"), "words").select("split", "qid", "set_id")
+    of_eval = of.where(F.col("split") != train).select(F.col("split").alias("eval_split"), F.col("qid").alias("eval_qid"), F.col("set_id").alias("x"))
+    of_train = of.where(F.col("split") == train).select(F.col("qid").alias("p"), F.col("set_id").alias("y"))
     found = pairs.join(of_eval, "x").join(of_train, "y")
-    return found.select("eval_split", F.least("q", "p").alias("qid_a"), F.greatest("q", "p").alias("qid_b"), "similarity", "covered", F.col("q").alias("eval_qid")).dropDuplicates(["eval_split", "qid_a", "qid_b"])
+    return found.select("eval_split", "eval_qid", F.least("eval_qid", "p").alias("qid_a"), F.greatest("eval_qid", "p").alias("qid_b"), "similarity", "covered")

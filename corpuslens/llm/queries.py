@@ -50,16 +50,16 @@ def _overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Queries of dev and test that stand in train too, or nearly so."""
-    return _overlaps(spark, d).select("eval_split", "qid_a", "qid_b")
+    return _overlaps(spark, d).select("eval_split", "qid_a", "qid_b").distinct()
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    """Overlaps per evaluation split and source of the evaluation query."""
+    """Overlaps per evaluation split and source of the evaluation query, and how much of the queries common spans cover."""
     sources = current_queries(spark, d).select(F.col("qid").alias("eval_qid"), F.lower(F.trim("source")).alias("source"))
     return (
         _overlaps(spark, d).join(sources, "eval_qid")
         .groupBy("eval_split", "source")
-        .agg(F.count("*").alias("n_pairs"), F.countDistinct("eval_qid").alias("n_queries"), F.count(F.when(F.col("similarity") == 1.0, 1)).alias("n_exact"))
+        .agg(F.count("*").alias("n_pairs"), F.countDistinct("eval_qid").alias("n_queries"), F.count(F.when(F.col("similarity") == 1.0, 1)).alias("n_exact"), F.sum("covered").alias("covered_words"))
     )
 
 
@@ -148,7 +148,6 @@ g AS (SELECT _id, min(other) AS group_id FROM reach GROUP BY 1),
 l AS (SELECT e.a, count(DISTINCT y.w) AS n FROM e JOIN m x ON e.a = x._id JOIN m y ON e.b = y._id WHERE x.w <> y.w GROUP BY 1)
 SELECT g._id AS id, group_id, coalesce(l.n, 0) AS n_links FROM g LEFT JOIN l ON g._id = l.a""",
     "p5_found": _P5 + "SELECT DISTINCT eval_split, qid_a, qid_b FROM o",
-    "p5_report": _P5 + """, p AS (
-  SELECT eval_split, qid_a, qid_b, any_value(eval_qid) AS eval_qid, any_value(lower(trim(source))) AS source, max(c) AS c, max(u) AS u FROM o GROUP BY 1, 2, 3)
-SELECT eval_split, source, count(*) AS n_pairs, count(DISTINCT eval_qid) AS n_queries, count(CASE WHEN c = u THEN 1 END) AS n_exact FROM p GROUP BY 1, 2""",
+    "p5_report": _P5 + """
+SELECT eval_split, lower(trim(source)) AS source, count(*) AS n_pairs, count(DISTINCT eval_qid) AS n_queries, count(CASE WHEN c = u THEN 1 END) AS n_exact, sum(c)::BIGINT AS covered_words FROM o GROUP BY 1, 2""",
 }

@@ -23,9 +23,9 @@ def brute(roster, texts, t):
 def run(spark, roster, texts, t=0.75):
     r = spark.createDataFrame([(s, q, "x", "y") for s, q in roster], "split string, qid string, words string, set_id string")
     x = spark.createDataFrame([(q, v, "x", "y") for q, v in texts], "qid string, text string, split string, lead string")
-    got = [(r.eval_split, r.qid_a, r.qid_b) for r in overlap.split_overlaps(r, x, ["dev", "test"], "train", t).collect()]
-    assert len(got) == len(set(got))
-    return set(got)
+    rows = overlap.split_overlaps(r, x, ["dev", "test"], "train", t).collect()
+    assert len(rows) == len({(r.eval_split, r.eval_qid, r.qid_a, r.qid_b) for r in rows})
+    return {(r.eval_split, r.qid_a, r.qid_b) for r in rows}
 
 
 def test_against_brute_force(spark):
@@ -58,9 +58,53 @@ def test_copies_meet_once_as_sets(spark):
     assert run(spark, roster, texts) == brute(roster, texts, 0.75)
 
 
-def test_common_prefix(spark):
-    df = spark.createDataFrame([(["a", "b", "c"], ["a", "b"]), (["a"], ["b"]), (["a", "b"], ["a", "b"])], "x array<string>, y array<string>")
-    assert [r.n for r in df.select(overlap.common_prefix(F.col("x"), F.col("y")).alias("n")).collect()] == [2, 0, 2]
+def test_suffix_array_against_brute_force(spark):
+    """Sorted over all partitions; neighbours with a common prefix are one interval, across the partitions' edges, too."""
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([1, 1, 1, 2, 3]) for _ in range(rng.randrange(1, 6))]) for i in range(300)]
+    needed = spark.createDataFrame(rows, "set_id long, suffix array<bigint>")
+    for span in (1, 2, 3):
+        got = overlap.suffix_array(needed, span).collect()
+        by_interval = {}
+        for r in got:
+            by_interval.setdefault((r.part, r.interval), []).append(r)
+        want = {}
+        for i, s in rows:
+            want.setdefault(tuple(s[:span]) if len(s) >= span else (i,), set()).add(i)
+        assert len(got) == 300 and len({r.part for r in got}) > 1
+        assert {frozenset(r.set_id for r in own) for own in by_interval.values()} == {frozenset(own) for own in want.values()}
+
+
+def test_order_makes_the_intervals(spark, monkeypatch):
+    """Without the sort, neighbours share nothing and pairs are missed."""
+    texts = [(f"q{i}", f"topic{i % 40} of interest number{i % 40} in house{i % 40}") for i in range(160)]
+    roster = [("train" if i < 80 else "dev", q) for i, (q, _) in enumerate(texts)]
+    texts = [(q, t + (f" extra{i}" if i % 3 == 0 else "")) for i, (q, t) in enumerate(texts)]
+    want = brute(roster, texts, 0.75)
+    assert run(spark, roster, texts) == want
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(type(spark.range(1)), "sortWithinPartitions", lambda self, *a: self.orderBy(F.xxhash64("set_id", "start")) if "start" in self.columns else DataFrame.sortWithinPartitions(self, *a))
+    assert len(run(spark, roster, texts)) < len(want)
+
+
+def test_needed_starts_meet_every_pair():
+    """By enumeration: two sequences of the similarity have a common span of two places at the starts that are kept."""
+    from itertools import product
+
+    for t in (0.75, 0.6, 0.9):
+        for marks in (m for n in range(1, 11) for m in product("sab", repeat=n)):
+            a, b = [k for k, m in enumerate(marks) if m != "b"], [k for k, m in enumerate(marks) if m != "a"]
+            shared = marks.count("s")
+            if not a or not b or shared < t * len(marks):
+                continue
+
+            def kept(x):
+                differ = len(x) - -(-(t * len(x) - 1e-9) // 1)
+                return x[: int(2 * differ + max(0, ((len(x) - differ) / t - len(x) + 1e-9) // 1)) + 1]
+
+            follows = lambda x, k: ([*x, "end"])[x.index(k) + 1]
+            assert any(k in b and k in kept(b) and follows(a, k) == follows(b, k) for k in kept(a)), (t, marks)
 
 
 def test_coverage_is_over_whole_texts(spark):
