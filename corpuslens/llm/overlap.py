@@ -1,17 +1,16 @@
 """Same or near-same texts across splits, by a suffix array over all texts.
 
 A text is reduced to its distinct words in one global order, rare words first (words in at least `common_share` of all
-texts come last, by their counts; the others are ordered by their hash), and a mark for its end: two texts that differ
-in spelling, order or some words are then two sequences with long runs in common. All these sequences stand one after
-the other, and their suffixes are sorted globally: range partitions, each sorted, with what a suffix has in common with
-the one before it, and the edges of the partitions exchanged. Neighbours with a common prefix of at least
-`least_span` words make an interval; within it, suffixes of different splits that don't go on to the left share a span.
-
-Two sets of a and b words that share at least the part t of their union, more than half, have a span of two places or more
-(the end counts) among the first places: they differ in fewer words than they share, so that some two shared ones stand side by
-side, and at most twice as many places come before the first such two as words differ. So only suffixes that start there
-are needed to meet each such pair. Pairs that can't share enough are left out by their places, the others are compared
-over their whole sets of words; merged over all common spans, the words covered are the shared ones.
+texts come last, by their counts; the others are ordered by their hash): two texts that differ in spelling, order or some
+words are then two sequences with long runs in common. All these sequences stand one after the other, and their suffixes
+are sorted globally: range partitions, each sorted, with what a suffix has in common with the one before it, and the
+edges of the partitions exchanged. Neighbours with a common prefix make an interval; within it, suffixes of
+different splits share a span.
+
+Two sets of a and b words that share at least the part t of their union have their first common word among the first
+a - ceil(t * a) + 1 words of the one and the first b - ceil(t * b) + 1 of the other, so only suffixes that start there
+are needed to meet each such pair. What their sorted words can share from there on bounds the pairs; those left are
+compared over their whole sets. Merged over all common spans, the words covered are the shared ones.
 """
 
 from __future__ import annotations
@@ -26,10 +25,11 @@ from pyspark.sql import functions as F
 
 from corpuslens.plans.lineage import cut
 
-#: Words by which suffixes are sorted. Suffixes that agree in all of them stand in one interval in any order.
+#: Words by which suffixes are sorted. Suffixes that agree in all of them stand in one interval in any order, and what lies
+#: beyond them counts as shared until the whole sets are compared.
 SORTED_WORDS = 8
-#: The end of a text comes after all words; common words after rare ones, whose numbers are their hashes.
-END, COMMON = 2**63 - 1, 2**62
+#: Common words come after rare ones, whose numbers are their hashes.
+COMMON = 2**62
 
 
 def words(text: Column) -> Column:
@@ -54,27 +54,15 @@ def ordered_words(texts: DataFrame, common_share: float = 0.002) -> DataFrame:
     return w.crossJoin(ranks).select("text_id", keyed.alias("keyed")).select("text_id", F.col("keyed.w").alias("words"), F.col("keyed.k").alias("numbers"))
 
 
-def least_span(similarity: float) -> int:
-    """Places of the span that any two sets of that similarity have in common, with the end of the text."""
-    return 2 if similarity > 0.5 else 1
-
-
 def suffixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """set_id, size, start, before (the number of the word to its left), suffix (the first SORTED_WORDS numbers) of the
-    suffixes that are needed to meet every pair."""
+    """set_id, size, start, suffix (the first SORTED_WORDS numbers) of the suffixes that are needed to meet every pair."""
     size = F.size("numbers")
-    differ = size - F.ceil(F.lit(similarity) * size - F.lit(1e-9))  # words that the other set may lack
-    extra = F.floor((size - differ) / F.lit(similarity) - size + F.lit(1e-9))  # and words that it may have besides
-    last = F.when(F.lit(least_span(similarity)) == 2, 2 * differ + F.greatest(extra, F.lit(0))).otherwise(differ)
-    starts = F.sequence(F.lit(0), F.least(last, size - 1).cast("int"))
-    s = sets.select("set_id", "in_train", "in_eval", size.alias("size"), F.concat("numbers", F.array(F.lit(END))).alias("numbers"), F.explode(starts).alias("start"))
-    return s.select(
-        "set_id", "in_train", "in_eval", "size", "start", F.when(F.col("start") > 0, F.get("numbers", F.col("start") - 1)).alias("before"),
-        F.slice("numbers", F.col("start") + 1, SORTED_WORDS).alias("suffix"),
-    )
+    starts = F.sequence(F.lit(0), size - F.ceil(F.lit(similarity) * size - F.lit(1e-9)).cast("int"))
+    s = sets.select("set_id", "in_train", "in_eval", size.alias("size"), "numbers", F.explode(starts).alias("start"))
+    return s.select("set_id", "in_train", "in_eval", "size", "start", F.slice("numbers", F.col("start") + 1, SORTED_WORDS).alias("suffix"))
 
 
-def suffix_array(needed: DataFrame, span: int) -> DataFrame:
+def suffix_array(needed: DataFrame, span: int = 1) -> DataFrame:
     """`needed` in the order of its suffixes, with interval: the same number for neighbours, and all between them, whose
     common prefixes have `span` words.
 
@@ -127,16 +115,19 @@ def _intervals(span: int):
 
 
 def shared_spans(array: DataFrame, similarity: float) -> DataFrame:
-    """x, y: pairs of an eval set and a train set with a common span from which on, and before which, they can share
-    enough words. A span is met where it begins, not at each of its words."""
-    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("set_id", "size", "start", "before")]
+    """x, y: pairs of an eval set and a train set in one interval that can share enough words from there on.
+
+    Where the first word that two sets have in common leads their suffixes, all their common words are in these: at
+    most as many as the shorter has, and as the sorted words share with what lies beyond them added.
+    """
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("set_id", "size", "start", "suffix")]
     a = array.where("in_eval").select("part", "interval", *side("x"))
     b = array.where("in_train").select("part", "interval", *side("y"))
     enough = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size_x") + F.col("size_y")) - F.lit(1e-9))
-    # a shared word stands before the span in both sets or from it on in both, as both are in the same order
-    possible = F.least("start_x", "start_y") + F.least(F.col("size_x") - F.col("start_x"), F.col("size_y") - F.col("start_y"))
-    begins = F.col("before_x").isNull() | F.col("before_y").isNull() | (F.col("before_x") != F.col("before_y"))
-    met = a.join(b, ["part", "interval"]).where((possible >= enough) & begins)
+    ahead = F.least(F.col("size_x") - F.col("start_x"), F.col("size_y") - F.col("start_y"))
+    beyond = [F.greatest(F.col(f"size_{c}") - F.col(f"start_{c}") - SORTED_WORDS, F.lit(0)) for c in "xy"]
+    shared = F.size(F.array_intersect("suffix_x", "suffix_y")) + beyond[0] + beyond[1]
+    met = a.join(b, ["part", "interval"]).where((ahead >= enough) & (shared >= enough))
     return met.select(F.col("set_id_x").alias("x"), F.col("set_id_y").alias("y")).distinct()
 
 
@@ -145,7 +136,7 @@ def split_overlaps(roster: DataFrame, texts: DataFrame, evals: list[str], train:
     number of words in common spans, over whole texts.
 
     `roster`: split, qid (a record may be in several splits); `texts`: qid, text. A pair is one record in both splits,
-    or two whose sets of words share at least `similarity` (half or more) of their union; the smaller id stands first, and
+    or two whose sets of words share at least `similarity` of their union; the smaller id stands first, and
     rows are distinct: two records that both stand in an eval split and in train are an overlap of either of them. Records
     without any word, without text or with null ids or splits are no cases. Equal sets of words are compared once,
     whatever their number of records; the records come in again at the end.
@@ -156,8 +147,7 @@ def split_overlaps(roster: DataFrame, texts: DataFrame, evals: list[str], train:
     entries = cut(records.join(r, "qid").select("split", "qid", "words", "numbers"))
     one = entries.groupBy("words").agg(F.first("numbers").alias("numbers"), F.max(F.col("split") == train).alias("in_train"), F.max(F.col("split") != train).alias("in_eval"))
     sets = cut(one.withColumn("set_id", F.monotonically_increasing_id()))
-    array = suffix_array(suffixes(sets, similarity), least_span(similarity))
-    spans = shared_spans(array, similarity)
+    spans = shared_spans(suffix_array(suffixes(sets, similarity)), similarity)
     shared = F.size(F.array_intersect("words_x", "words_y"))
     pairs = (
         spans.join(sets.select(F.col("set_id").alias("x"), F.col("words").alias("words_x")), "x")

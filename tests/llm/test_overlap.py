@@ -88,25 +88,6 @@ def test_order_makes_the_intervals(spark, monkeypatch):
     assert len(run(spark, roster, texts)) < len(want)
 
 
-def test_needed_starts_meet_every_pair():
-    """By enumeration: two sequences of the similarity have a common span of two places at the starts that are kept."""
-    from itertools import product
-
-    for t in (0.75, 0.6, 0.9):
-        for marks in (m for n in range(1, 11) for m in product("sab", repeat=n)):
-            a, b = [k for k, m in enumerate(marks) if m != "b"], [k for k, m in enumerate(marks) if m != "a"]
-            shared = marks.count("s")
-            if not a or not b or shared < t * len(marks):
-                continue
-
-            def kept(x):
-                differ = len(x) - -(-(t * len(x) - 1e-9) // 1)
-                return x[: int(2 * differ + max(0, ((len(x) - differ) / t - len(x) + 1e-9) // 1)) + 1]
-
-            follows = lambda x, k: ([*x, "end"])[x.index(k) + 1]
-            assert any(k in b and k in kept(b) and follows(a, k) == follows(b, k) for k in kept(a)), (t, marks)
-
-
 def test_coverage_is_over_whole_texts(spark):
     long = [f"w{i}" for i in range(60)]
     r = spark.createDataFrame([("train", "a"), ("dev", "b")], "split string, qid string")
