@@ -353,8 +353,14 @@ def report_backfill(s, d):
 
 
 def _wide(s, d) -> DataFrame:
-    w = sinks.per_query_wide(metrics.per_query_ndcg(L.run(s, d), L.qrels(s, d)), METHODS)
-    return w.select("qid", *[F.coalesce(F.col(f"`{m}`"), F.lit(0.0)).alias(m.lower().replace("-", "_")) for m in METHODS])
+    """qid and the nDCG@10 of each method for judged queries; null where a method did not run a query."""
+    ev = metrics.evaluate(L.run(s, d), L.qrels(s, d), (10,)).withColumnRenamed("ndcg_10", "ndcg")
+    return sinks.per_query_wide(ev, METHODS).select("qid", *[F.col(f"`{m}`").alias(m.lower().replace("-", "_")) for m in METHODS])
+
+
+def _compared(s, d) -> DataFrame:
+    """The judged queries that both runs of a comparison have."""
+    return _wide(s, d).where("bm25 IS NOT NULL AND dense IS NOT NULL").select("qid", "bm25", "dense")
 
 
 @query
@@ -365,7 +371,7 @@ def per_query_pivot(s, d):
 @query
 def win_tie_loss(s, d):
     a, b = F.round("bm25", 9), F.round("dense", 9)
-    return _wide(s, d).agg(F.count(F.when(a > b, 1)).alias("wins"), F.count(F.when(a == b, 1)).alias("ties"), F.count(F.when(a < b, 1)).alias("losses"))
+    return _compared(s, d).agg(F.count(F.when(a > b, 1)).alias("wins"), F.count(F.when(a == b, 1)).alias("ties"), F.count(F.when(a < b, 1)).alias("losses"))
 
 
 @query
@@ -415,14 +421,15 @@ def router_features(s, d):
 
 
 def _study(s, d) -> DataFrame:
-    """Features and the nDCG@10 of three runs for every query of the run."""
+    """Features and the nDCG@10 of three runs for the judged queries that all of them have."""
     run = L.run(s, d)
     a, b = of(run, "BM25"), of(run, "Dense")
     three = None
     for name, r in (("bm25", a), ("dense", b), ("hybrid", fusion.hybrid(a, b))):
         r = r.select(F.lit(name).alias("method"), "qid", "doc_id", "score")
         three = r if three is None else three.unionByName(r)
-    wide = sinks.per_query_wide(metrics.per_query_ndcg(three, L.qrels(s, d)), ["bm25", "dense", "hybrid"]).na.fill(0.0)
+    ev = metrics.evaluate(three, L.qrels(s, d), (10,)).withColumnRenamed("ndcg_10", "ndcg")
+    wide = sinks.per_query_wide(ev, ["bm25", "dense", "hybrid"]).na.drop()
     wide = wide.withColumn("dense_minus_bm25", F.col("dense") - F.col("bm25")).withColumn("hybrid_minus_dense", F.col("hybrid") - F.col("dense"))
     surface = features.surface(L.queries(s, d)).select("qid", "len")
     gap = features.vocab_gap(L.queries(s, d), L.qrels(s, d), L.corpus(s, d))
@@ -442,12 +449,26 @@ def spearman(s, d):
 
 @query
 def wilcoxon(s, d):
-    return r6(stats.wilcoxon(_wide(s, d), "dense", "bm25"))
+    return r6(stats.wilcoxon(_compared(s, d), "dense", "bm25"))
+
+
+@query
+def wilcoxon_p(s, d):
+    """The signed-rank statistic with its two-sided p-value (normal approximation with tie correction)."""
+    w = stats.wilcoxon(_compared(s, d), "dense", "bm25").select("n_nonzero", "w", "tie_sum").first()  # one row
+    p = stats.wilcoxon_p(w["n_nonzero"], w["w"], w["tie_sum"])
+    return s.createDataFrame([("Dense - BM25", w["n_nonzero"], w["w"], p)], "contrast string, n_nonzero bigint, w double, p_value double")
+
+
+@query
+def spearman_p(s, d):
+    """Spearman's correlations with their two-sided p-values."""
+    return stats.with_p_value(spearman(s, d))
 
 
 @query
 def paired_bootstrap(s, d):
-    return r6(stats.paired_bootstrap(_wide(s, d), "dense", "bm25", "qid", replicates=10_000))
+    return r6(stats.paired_bootstrap(_compared(s, d), "dense", "bm25", "qid", replicates=10_000))
 
 
 TRIAL_COLUMNS = ["bm25", "dense", "hybrid", "dense_minus_bm25", "hybrid_minus_dense"]
@@ -526,10 +547,11 @@ def profile_examples(s, d):
 
 
 def _strategies(s, d) -> DataFrame:
-    w = _wide(s, d)
+    """qid and the nDCG@10 of the four strategies for the judged queries that all of them have."""
     run = L.run(s, d)
-    hybrid = metrics.per_query_ndcg(fusion.hybrid(of(run, "BM25"), of(run, "BGE-small")).withColumn("method", F.lit("h")), L.qrels(s, d))
-    return w.join(hybrid.select("qid", F.col("ndcg").alias("hybrid")), "qid", "left").select("qid", "bm25", F.col("bge_small").alias("bge"), F.coalesce("hybrid", F.lit(0.0)).alias("hybrid"), "medcpt")
+    hybrid = fusion.hybrid(of(run, "BM25"), of(run, "BGE-small")).select(F.lit("hybrid").alias("method"), "qid", "doc_id", "score")
+    ev = metrics.evaluate(hybrid, L.qrels(s, d), (10,)).select("qid", F.col("ndcg_10").alias("hybrid"))
+    return _wide(s, d).join(ev, "qid").select("qid", "bm25", F.col("bge_small").alias("bge"), "hybrid", "medcpt").na.drop()
 
 
 def _given_features(s, d) -> DataFrame:

@@ -92,7 +92,8 @@ _EV = _with(QRELS, RUN, _ev("run", "qrels", "method", KS))
 _COLUMN = {"BM25": "bm25", "Dense": "dense", "BGE-small": "bge_small", "E5-small": "e5_small", "SPLADE": "splade", "MedCPT": "medcpt"}
 _WIDE_CTE = f"""{_ev("run", "qrels", "method", (10,))},
 pq AS (SELECT m.method, m.qid, coalesce(ev.ndcg_10, 0) AS ndcg FROM (SELECT DISTINCT method, qid FROM run) m LEFT JOIN ev ON m.method = ev.method AND m.qid = ev.qid),
-wide AS (SELECT qid, {", ".join(f"coalesce(max(CASE WHEN method = '{m}' THEN ndcg END), 0) AS {c}" for m, c in _COLUMN.items())} FROM pq GROUP BY qid)"""
+wide AS (SELECT qid, {", ".join(f"max(CASE WHEN method = '{m}' THEN ndcg_10 END) AS {c}" for m, c in _COLUMN.items())} FROM ev GROUP BY qid),
+both_ran AS (SELECT qid, bm25, dense FROM wide WHERE bm25 IS NOT NULL AND dense IS NOT NULL)"""
 _WIDE = _with(QRELS, RUN, _WIDE_CTE)
 
 _IDF = f"""df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({WORD.format('content')})) AS term FROM prep) GROUP BY term),
@@ -112,8 +113,7 @@ _STUDY = _with(
     CORPUS, QUERY, QRELS, RUN, FUSED,
     "three AS (SELECT CASE method WHEN 'BM25' THEN 'bm25' ELSE 'dense' END AS method, qid, doc_id, score FROM run WHERE method IN ('BM25', 'Dense') UNION ALL SELECT 'hybrid', qid, doc_id, score FROM hybrid)",
     _ev("three", "qrels", "method", (10,)),
-    "pq AS (SELECT m.method, m.qid, coalesce(ev.ndcg_10, 0) AS ndcg FROM (SELECT DISTINCT method, qid FROM three) m LEFT JOIN ev ON m.method = ev.method AND m.qid = ev.qid)",
-    "w AS (SELECT qid, " + ", ".join(f"coalesce(max(CASE WHEN method = '{m}' THEN ndcg END), 0) AS {m}" for m in ("bm25", "dense", "hybrid")) + " FROM pq GROUP BY qid)",
+    "w AS (SELECT qid, " + ", ".join(f"max(CASE WHEN method = '{m}' THEN ndcg_10 END) AS {m}" for m in ("bm25", "dense", "hybrid")) + " FROM ev GROUP BY qid HAVING count(*) = 3)",
     _IDF, _TECH, _GAP,
     f"study AS (SELECT w.*, dense - bm25 AS dense_minus_bm25, hybrid - dense AS hybrid_minus_dense, gap, tech, len({WORD.format('q.text')}) AS len "
     "FROM w JOIN queries q ON w.qid = q.qid JOIN gap ON w.qid = gap.qid JOIN tech ON w.qid = tech.qid)",
@@ -125,9 +125,10 @@ def _draws(replicates: int, size: str, n: str) -> str:
     return f"draws AS (SELECT id // {size} AS b, {_scrambled('id * 7919 + 12345')} % {n} AS idx FROM (SELECT unnest(range({replicates} * {size})) AS id))"
 
 
+_SIZE = "(SELECT count(DISTINCT qid) FROM queries WHERE qid IN (SELECT qid FROM judged WHERE split = 'test'))"
 _RESAMPLED = _STUDY.rstrip() + f""",
 placed AS (SELECT *, row_number() OVER (ORDER BY qid) - 1 AS idx FROM study),
-{_draws(2000, "323", "(SELECT count(*) FROM study)")},
+{_draws(2000, _SIZE, "(SELECT count(*) FROM study)")},
 trials AS (SELECT b AS trial, {", ".join(f"avg({c}) AS {c}" for c in _TRIALS)} FROM draws JOIN placed ON draws.idx = placed.idx GROUP BY b)
 """
 _SPEARMAN = [("gap vs bm25", "gap", "bm25"), ("gap vs dense", "gap", "dense"), ("gap vs hybrid", "gap", "hybrid"), ("overlap vs dense - bm25", "1 - gap", "dense_minus_bm25")]
@@ -141,7 +142,7 @@ _TOP5 = """ctx AS (
 _CTX = _with(CORPUS, QUERY, QRELS, RUN, RANKED, _TOP5.format(m="BM25"))
 _STRATEGIES = _with(
     QRELS, RUN, JOINED.format(other="BGE-small"), _WIDE_CTE, "hy AS (SELECT 'h' AS method, * FROM hybrid)", _ev("hy", "qrels", "method", (10,), "hev"),
-    "st AS (SELECT wide.qid, bm25, bge_small AS bge, coalesce(hev.ndcg_10, 0) AS hybrid, medcpt FROM wide LEFT JOIN hev ON wide.qid = hev.qid)",
+    "st AS (SELECT wide.qid, bm25, bge_small AS bge, hev.ndcg_10 AS hybrid, medcpt FROM wide JOIN hev ON wide.qid = hev.qid WHERE bm25 IS NOT NULL AND bge_small IS NOT NULL AND medcpt IS NOT NULL)",
 )
 _BM25 = _with(
     CORPUS, QUERY, f"qs AS (SELECT * FROM queries WHERE {NUMBER.format('qid')} % 50 = 0)",
@@ -249,10 +250,13 @@ ids AS (SELECT qid, x.q AS question, unnest(coalesce(TRY_CAST(CASE WHEN json_val
     "multi_dataset_pivot": _PIVOT + "SELECT * FROM wide",
     "report_backfill": _PIVOT + "SELECT * FROM wide",
     "per_query_pivot": _WIDE + "SELECT qid, " + ", ".join(f"round({c}, 6) AS {c}" for c in _COLUMN.values()) + " FROM wide",
-    "win_tie_loss": _WIDE + "SELECT count(CASE WHEN round(bm25, 9) > round(dense, 9) THEN 1 END) AS wins, count(CASE WHEN round(bm25, 9) = round(dense, 9) THEN 1 END) AS ties, count(CASE WHEN round(bm25, 9) < round(dense, 9) THEN 1 END) AS losses FROM wide",
-    "n_required": _WIDE.rstrip() + """, m AS (SELECT round(avg(bm25), 4) AS bm25, round(avg(dense), 4) AS dense, round(avg(bge_small), 4) AS bge_small, round(avg(e5_small), 4) AS e5_small FROM wide),
-c AS (SELECT 'bge_small' AS a, 'bm25' AS b, round(bge_small - bm25, 4) AS g FROM m UNION ALL SELECT 'bge_small', 'e5_small', round(bge_small - e5_small, 4) FROM m UNION ALL SELECT 'dense', 'bm25', round(dense - bm25, 4) FROM m)
-SELECT a, b, g AS observed_gap, CASE WHEN abs(g) < 1e-12 THEN 1000000000 ELSE ceil(ln(2.0::DOUBLE / (1 - 0.95::DOUBLE)) / (2 * g * g)) END::BIGINT AS n_required FROM c""",
+    "win_tie_loss": _WIDE + "SELECT count(CASE WHEN round(bm25, 9) > round(dense, 9) THEN 1 END) AS wins, count(CASE WHEN round(bm25, 9) = round(dense, 9) THEN 1 END) AS ties, count(CASE WHEN round(bm25, 9) < round(dense, 9) THEN 1 END) AS losses FROM both_ran",
+    "n_required": _with(QRELS, RUN, _WIDE_CTE, FUSED, _SPLIT["test"], _THREE, _ev("three", "q_test", "method", (10,), "te"),
+        "m AS (SELECT round(avg(bm25), 4) AS bm25, round(avg(bge_small), 4) AS bge_small, round(avg(e5_small), 4) AS e5_small FROM wide)",
+        "t AS (SELECT " + ", ".join(f"avg(CASE WHEN method = '{x}' THEN ndcg_10 END) AS {x.lower()}" for x in ("BM25", "Dense", "Hybrid")) + " FROM te)",
+        "c AS (SELECT 'bge_small' AS a, 'bm25' AS b, bge_small - bm25 AS g FROM m UNION ALL SELECT 'bge_small', 'e5_small', bge_small - e5_small FROM m "
+        "UNION ALL SELECT 'hybrid', 'dense', hybrid - dense FROM t UNION ALL SELECT 'dense', 'bm25', dense - bm25 FROM t)")
+    + "SELECT a, b, round(g, 4) AS observed_gap, CASE WHEN abs(g) < 1e-12 THEN 1000000000 ELSE ceil(ln(2.0::DOUBLE / (1 - 0.95::DOUBLE)) / (2 * g * g)) END::BIGINT AS n_required FROM c",
     "index_memory": _with(CORPUS) + "SELECT count(*) AS n_docs, (count(*) * 384 * 4 // 1048576)::VARCHAR || ' MB (' || count(*)::VARCHAR || ' x 384 f32)' AS memory FROM corpus",
     "idf_table": _with(CORPUS, _IDF) + "SELECT term, df, round(idf, 6) AS idf FROM idf",
     "feat_tech": _with(CORPUS, QUERY, _IDF, _TECH) + "SELECT qid, round(tech, 6) AS tech FROM tech",
@@ -262,16 +266,16 @@ SELECT a, b, g AS observed_gap, CASE WHEN abs(g) < 1e-12 THEN 1000000000 ELSE ce
     "spearman": _STUDY.rstrip() + ", l AS (" + " UNION ALL ".join(f"SELECT '{n}' AS relationship, round({x}, 9) AS x, round({y}, 9) AS y FROM study" for n, x, y in _SPEARMAN) + """),
 k AS (SELECT relationship, rank() OVER (PARTITION BY relationship ORDER BY x) + (count(*) OVER (PARTITION BY relationship, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY relationship ORDER BY y) + (count(*) OVER (PARTITION BY relationship, y) - 1) / 2.0::DOUBLE AS ry FROM l)
 SELECT relationship, count(*) AS n, round(corr(rx, ry), 6) AS spearman_rho FROM k GROUP BY 1""",
-    "wilcoxon": _WIDE.rstrip() + """, d AS (SELECT round(dense - bm25, 9) AS d FROM wide), nz AS (SELECT d, abs(d) AS s FROM d WHERE d <> 0),
+    "wilcoxon": _WIDE.rstrip() + """, d AS (SELECT round(dense - bm25, 9) AS d FROM both_ran), nz AS (SELECT d, abs(d) AS s FROM d WHERE d <> 0),
 k AS (SELECT d, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY s) AS t FROM nz),
 a AS (SELECT count(*) AS n_nonzero, coalesce(sum(CASE WHEN d > 0 THEN r END), 0) AS w_plus, coalesce(sum(CASE WHEN d < 0 THEN r END), 0) AS w_minus, coalesce(sum(t * t - 1), 0)::DOUBLE AS tie_sum FROM k)
 SELECT n_nonzero, w_plus, w_minus, least(w_plus, w_minus) AS w, tie_sum, (SELECT count(*) FROM d WHERE d > 0) AS a_wins, (SELECT count(*) FROM d WHERE d < 0) AS b_wins, (SELECT count(*) FROM d WHERE d = 0) AS ties FROM a""",
-    "paired_bootstrap": _WIDE.rstrip() + f""", placed AS (SELECT dense - bm25 AS diff, row_number() OVER (ORDER BY qid) - 1 AS idx FROM wide),
-{_draws(10000, "(SELECT count(*) FROM wide)", "(SELECT count(*) FROM wide)")},
+    "paired_bootstrap": _WIDE.rstrip() + f""", placed AS (SELECT dense - bm25 AS diff, row_number() OVER (ORDER BY qid) - 1 AS idx FROM both_ran),
+{_draws(10000, "(SELECT count(*) FROM both_ran)", "(SELECT count(*) FROM both_ran)")},
 boot AS (SELECT b, avg(diff) AS diff FROM draws JOIN placed ON draws.idx = placed.idx GROUP BY b)
 SELECT round((SELECT avg(diff) FROM placed), 6) AS mean_diff, round(quantile_cont(diff, 0.025), 6) AS ci_lo, round(quantile_cont(diff, 0.975), 6) AS ci_hi, round(avg(CASE WHEN round(diff, 12) > 0 THEN 1 ELSE 0 END), 6) AS p_a_gt_b FROM boot""",
     "query_resampling": _RESAMPLED + "SELECT trial, " + ", ".join(f"round({c}, 6) AS {c}" for c in _TRIALS) + " FROM trials",
-    "resampling_summary": _RESAMPLED + " UNION ALL ".join(f"SELECT '{c}' AS method, count(*) AS n_trials, round(avg({c}), 6) AS mean, round(quantile_cont({c}, 0.025), 6) AS q025, round(quantile_cont({c}, 0.975), 6) AS q975, round(stddev_samp({c}), 6) AS std FROM trials" for c in _TRIALS),
+    "resampling_summary": _RESAMPLED + " UNION ALL ".join(f"SELECT '{c}' AS method, count(*) AS n_trials, round(avg({c}), 6) AS mean, round(quantile_cont({c}, 0.025), 6) AS q025, round(quantile_cont({c}, 0.975), 6) AS q975, round(stddev_samp({c}), 6) AS std, {_SIZE} AS subset_size FROM trials" for c in _TRIALS),
     "stratify_gap": _STUDY.rstrip() + _STRATA.replace("{by}", "gap"),
     "stratify_tech": _STUDY.rstrip() + _STRATA.replace("{by}", "tech"),
     "ols_delta": _STUDY.rstrip() + _ols(),
