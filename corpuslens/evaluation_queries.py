@@ -527,6 +527,22 @@ def profile_collection(s, d):
     return r6(profile.length_stats(docs, "text", "documents").unionByName(profile.length_stats(L.queries(s, d), "text", "queries")))
 
 
+@query
+def profile_judgements(s, d):
+    return r6(profile.judgements(L.qrels(s, d)))
+
+
+@query
+def profile_splits(s, d):
+    return profile.splits(L.split_qrels(s, d), L.queries(s, d))
+
+
+@query
+def profile_query_histogram(s, d):
+    lengths = L.queries(s, d).select(profile.n_words(F.col("text")).alias("n_words"))
+    return big(profile.histogram(lengths, "n_words", 50))
+
+
 @query
 def profile_grades(s, d):
     return big(r6(profile.grades(L.qrels(s, d))))
@@ -590,14 +606,16 @@ def router_baselines(s, d):
 
 @query
 def router_report(s, d):
-    """Learned routers on train and dev against test, with the gap between their risks."""
+    """The four fixed strategies, two learned routers and the oracle: risks on train and dev and on test, with their gap."""
     rows = cut(_given_features(s, d).join(_strategies(s, d), "qid").withColumn("label", router.label(STRATEGIES).cast("double")))
     train, test = rows.where("split <> 'test'"), rows.where("split = 'test'")
-    out = None
     forest, _ = router.trees(train, train, test)
-    for name, (a, b) in (("logistic", router.logistic(train, train, test)), ("trees", forest)):
-        risk = [1.0 - F.avg(router.chosen(STRATEGIES, "pick"))]
-        r = a.agg(*[x.alias("r_train") for x in risk]).join(F.broadcast(b.agg(*[x.alias("r_test") for x in risk])))  # one row each
+    picks = {"logistic": router.logistic(train, train, test), "trees": forest, "oracle": [f.withColumn("pick", router.label(STRATEGIES)) for f in (train, test)]}
+    picks = {c: [f.withColumn("pick", F.lit(i)) for f in (train, test)] for i, c in enumerate(STRATEGIES)} | picks
+    out = None
+    for name, (a, b) in picks.items():
+        risk = 1.0 - F.avg(router.chosen(STRATEGIES, "pick"))
+        r = a.agg(risk.alias("r_train")).join(F.broadcast(b.agg(risk.alias("r_test"))))  # one row each
         r = r.select(F.lit(name).alias("router"), "r_train", "r_test", (F.col("r_test") - F.col("r_train")).alias("gap"))
         out = r if out is None else out.unionByName(r)
     return out

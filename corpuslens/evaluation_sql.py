@@ -178,10 +178,11 @@ def _ols() -> str:
     det = lambda m: f"({m[0]}*({m[4]}*{m[8]}-{m[5]}*{m[7]})-{m[1]}*({m[3]}*{m[8]}-{m[5]}*{m[6]})+{m[2]}*({m[3]}*{m[7]}-{m[4]}*{m[6]}))"
     r = ["1", "ab", "ac", "ab", "1", "bc", "ac", "bc", "1"]
     put = lambda k: [("ya", "yb", "yc")[i // 3] if i % 3 == k else r[i] for i in range(9)]
-    rows = " UNION ALL ".join(f"SELECT '{n}' AS feature, round({e}, 6) AS coef FROM m" for n, e in [("Intercept", "y"), *((c, f"{det(put(k))} / {det(r)}") for k, c in enumerate(z))])
+    explained = " + ".join(f"{det(put(k))} / {det(r)} * y{c}" for k, c in enumerate("abc"))
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS feature, round({e}, 6) AS coef, round(({explained}) / v, 6) AS r2 FROM m" for n, e in [("Intercept", "y"), *((c, f"{det(put(k))} / {det(r)}") for k, c in enumerate(z))])
     return (
         f", z AS (SELECT {', '.join(f'{e} AS z_{c}' for c, e in z.items())}, dense_minus_bm25 AS y FROM study), "
-        "m AS (SELECT avg(y) AS y, avg(z_gap*z_len) AS ab, avg(z_gap*z_tech) AS ac, avg(z_len*z_tech) AS bc, avg(z_gap*y) AS ya, avg(z_len*y) AS yb, avg(z_tech*y) AS yc FROM z) " + rows
+        "m AS (SELECT avg(y) AS y, var_pop(y) AS v, avg(z_gap*z_len) AS ab, avg(z_gap*z_tech) AS ac, avg(z_len*z_tech) AS bc, avg(z_gap*y) AS ya, avg(z_len*y) AS yb, avg(z_tech*y) AS yc FROM z) " + rows
     )
 
 
@@ -281,6 +282,12 @@ SELECT round((SELECT avg(diff) FROM placed), 6) AS mean_diff, round(quantile_con
     "ols_delta": _STUDY.rstrip() + _ols(),
     "profile_collection": _with(CORPUS, QUERY, "l AS (SELECT 'documents' AS what, len(list_filter(string_split_regex(content, '\\s+'), lambda x: x <> '')) AS n FROM prep UNION ALL SELECT 'queries', len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) FROM queries)")
     + "SELECT what, count(*) AS n, round(avg(l.n), 6) AS mean, median(l.n)::DOUBLE AS median, min(l.n)::DOUBLE AS least, max(l.n)::DOUBLE AS most FROM l GROUP BY 1",
+    "profile_judgements": _with(QRELS, "n AS (SELECT count(*) AS n FROM qrels GROUP BY qid)")
+    + "SELECT count(*) AS n_queries, sum(n)::BIGINT AS n_judgements, round(avg(n), 6) AS mean, median(n)::DOUBLE AS median, max(n)::DOUBLE AS most FROM n",
+    "profile_splits": _with(QUERY, QRELS)
+    + "SELECT split, count(DISTINCT qid) AS n_judged, count(DISTINCT CASE WHEN qid IN (SELECT qid FROM queries) THEN qid END) AS n_queries, count(*) AS n_judgements FROM judged GROUP BY 1",
+    "profile_query_histogram": _with(QUERY, "l AS (SELECT len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n FROM queries)", "b AS (SELECT min(n)::DOUBLE AS lo, (max(n)::DOUBLE - min(n)) / 50 AS w FROM l)")
+    + "SELECT least(floor((n - lo) / w), 49)::BIGINT AS bin, count(*) AS n FROM l, b GROUP BY 1",
     "profile_grades": _with(QRELS) + "SELECT rel::BIGINT AS rel, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM qrels), 6) AS percent FROM qrels GROUP BY 1",
     "profile_histogram": _with(CORPUS, "l AS (SELECT len(list_filter(string_split_regex(content, '\\s+'), lambda x: x <> '')) AS n FROM prep)", "b AS (SELECT min(n)::DOUBLE AS lo, (max(n)::DOUBLE - min(n)) / 50 AS w FROM l)")
     + "SELECT least(floor((n - lo) / w), 49)::BIGINT AS bin, count(*) AS n FROM l, b GROUP BY 1",

@@ -16,7 +16,7 @@ def unpack_values(field: Column) -> Column:
 
     The field is split at quote characters. Odd pieces are literals, kept whole unless they open with a bracket
     (then the quotes stand around a whole list); even pieces are split at delimiters, and brackets, dots and colons
-    at a value's ends are dropped. A fold over the pieces appends their values. Whatever holds no digit (words such
+    at a value's ends are dropped. The pieces' values are put together in order, in one pass. Whatever holds no digit (words such
     as "and", "nan", "...") is no value. Null, empty and blank fields give an empty array. A quoted list with
     escaped quotes is unwrapped first. An unclosed quote makes a literal of the rest.
     """
@@ -33,8 +33,7 @@ def unpack_values(field: Column) -> Column:
         whole = piece["literal"] & ~piece["p"].rlike(rf"^\s*[{BRACKETS}]")
         return F.when(whole, F.array(piece["p"])).otherwise(F.split(piece["p"], DELIMITERS))
 
-    folded = F.aggregate(marked, F.array().cast("array<string>"), lambda acc, piece: F.concat(acc, values(piece)))
-    found = F.filter(F.transform(folded, tidy), lambda v: v.rlike("[0-9]"))
+    found = F.filter(F.transform(F.flatten(F.transform(marked, values)), tidy), lambda v: v.rlike("[0-9]"))
     return F.coalesce(found, F.array().cast("array<string>"))
 
 

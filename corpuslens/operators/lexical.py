@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from corpuslens.functions.text import prep_text, retrieval_tokens
 from corpuslens.operators.metrics import rank_run
 from corpuslens.plans.lineage import cut
-from corpuslens.plans.sizes import small_side
+
+#: Distinct query terms that are looked up in each document as it is read.
+TERMS = 5000
 
 
 def token_table(corpus: DataFrame) -> DataFrame:
@@ -36,15 +38,22 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25(corpus: DataFrame, queries: DataFrame, k: int = 100, k1: float = 1.5, b: float = 0.75, pad: bool = False) -> DataFrame:
     """qid, doc_id, score, rank: the k best documents of each query.
 
-    The corpus is brought to tokens once and written; of these only the queries' terms become postings, so that the rest
-    is never shuffled. A frequent term's postings are spread by document, as the few queries of the term are the side
-    that is copied when adaptive execution splits the join. `pad` fills a query's list up to k documents with others of
-    score 0, in the order of their ids, as a dense score matrix would.
+    The corpus is read once: of each document its length and those of its tokens that a query names are written, and only
+    these become postings. Up to TERMS distinct terms are looked up as each document is read, more are joined. A frequent
+    term's postings are spread by document, as the few queries of the term are the side that is copied when adaptive
+    execution splits the join. `pad` fills a query's list up to k documents with others of score 0, in the order of their
+    ids, as a dense score matrix would.
     """
-    tokens = cut(token_table(corpus))
     wanted = query_terms(queries)
-    terms = small_side(cut(wanted.select("term").distinct()))
-    exploded = tokens.select("doc_id", "dl", F.explode("tokens").alias("term")).join(terms, "term", "left_semi")
+    terms = cut(wanted.select("term").distinct())
+    tokens = token_table(corpus)
+    if terms.count() <= TERMS:
+        named = [r["term"] for r in terms.collect()]
+        tokens = cut(tokens.withColumn("tokens", F.filter("tokens", lambda t: t.isin(named))))
+        exploded = tokens.select("doc_id", "dl", F.explode("tokens").alias("term"))
+    else:
+        tokens = cut(tokens)
+        exploded = tokens.select("doc_id", "dl", F.explode("tokens").alias("term")).join(terms, "term", "left_semi")
     hits = cut(exploded.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")))
     df, totals = index_stats(tokens, hits)
     n, avgdl = totals.first()  # two numbers

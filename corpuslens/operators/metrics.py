@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.plans.numbering import number_in_groups
+
 KS = (1, 3, 5, 10)
 
 
-def rank_run(run: DataFrame, keys: list[str], k: int | None = None) -> DataFrame:
+def rank_run(run: DataFrame, keys: list[str], k: int | None = None, few: bool = False) -> DataFrame:
     """`run` with rank, from 1, by score downwards and document upwards. Scores are compared to 6 decimals, so that the
-    order of additions cannot change ranks. With `k`, a task keeps at most k rows of a key before they are shuffled."""
-    w = Window.partitionBy(*keys).orderBy(F.round("score", 6).desc(), F.col("doc_id").asc())
-    ranked = run.withColumn("rank", F.row_number().over(w))
+    order of additions cannot change ranks. With `k`, a task keeps at most k rows of a key before they are shuffled.
+    Without it, a key may have any number of rows and is spread over tasks, unless `few` says that each has a few only."""
+    order = [F.round("score", 6).desc(), F.col("doc_id").asc()]
+    if k is None and not few:
+        return number_in_groups(run, keys, order, "rank").withColumn("rank", F.col("rank").cast("int"))
+    ranked = run.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 

@@ -18,6 +18,22 @@ def length_stats(texts: DataFrame, text: str, what: str) -> DataFrame:
     )
 
 
+def judgements(qrels: DataFrame) -> DataFrame:
+    """n_queries, n_judgements, and the mean, median and greatest number of judgements of a query."""
+    n = qrels.groupBy("qid").agg(F.count("*").alias("n"))
+    return n.agg(
+        F.count("*").alias("n_queries"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_judgements"), F.avg("n").alias("mean"),
+        F.percentile("n", F.lit(0.5)).alias("median"), F.max("n").cast("double").alias("most"),
+    )
+
+
+def splits(of_splits: DataFrame, queries: DataFrame) -> DataFrame:
+    """split, n_judged (queries with judgements), n_queries (those that have a text), n_judgements."""
+    per = of_splits.groupBy("split", "qid").agg(F.count("*").alias("n"))
+    known = per.join(queries.select("qid", F.lit(1).alias("known")), "qid", "left")
+    return known.groupBy("split").agg(F.count("*").alias("n_judged"), F.count("known").alias("n_queries"), F.sum("n").alias("n_judgements"))
+
+
 def grades(qrels: DataFrame) -> DataFrame:
     """rel, n, percent."""
     total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # one row for each grade

@@ -40,11 +40,12 @@ def lexical_score(query: Column, text: Column) -> Column:
 def rerank(candidates: DataFrame, queries: DataFrame, corpus: DataFrame, score: Callable[[Column, Column], Column] = lexical_score, k: int | None = None) -> DataFrame:
     """qid, doc_id, score, rank of all candidates (qid, doc_id) in the scorer's order; with `k`, the first k of them.
 
+    A query should have some hundreds of candidates at most, as a scorer's time goes with their number.
     Candidates without a document are an error of the run: see `missing_candidates`; here they are left out.
     """
     texts = corpus.select("doc_id", prep_text("title", "text").alias("doc_text"))
     pairs = candidates.select("qid", "doc_id").join(queries.select("qid", F.col("text").alias("query")), "qid").join(texts, "doc_id")
-    return rank_run(pairs.select("qid", "doc_id", score(F.col("query"), F.col("doc_text")).alias("score")), ["qid"], k)
+    return rank_run(pairs.select("qid", "doc_id", score(F.col("query"), F.col("doc_text")).alias("score")), ["qid"], k, few=True)
 
 
 def missing_candidates(candidates: DataFrame, corpus: DataFrame) -> DataFrame:

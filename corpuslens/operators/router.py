@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,4 +47,4 @@ def policy_value(df: DataFrame, strategies: list[str], pick: str = "pick") -> Da
     return df.agg(F.avg(chosen(strategies, pick)).alias("value"), F.count("*").alias("n_queries"))
 
 
-__all__ = ["FEATURES", "chosen", "label", "logistic", "policy_value", "standardised", "trees", "vector_to_array"]
+__all__ = ["FEATURES", "chosen", "label", "logistic", "policy_value", "standardised", "trees"]

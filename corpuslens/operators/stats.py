@@ -187,10 +187,16 @@ def centre(row: dict, xs: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ols(values: DataFrame, xs: list[str], y: str) -> DataFrame:
-    """feature, coef: ordinary least squares of y on standardised xs."""
+    """feature, coef, r2: ordinary least squares of y on standardised xs, and the share of y's variance that it explains."""
     row = moments(values, xs, y).first().asDict()
-    coef = solve(row, xs, y, *centre(row, xs)) if row["n"] else [float("nan")] * (len(xs) + 1)
-    return values.sparkSession.createDataFrame([(n, float(c)) for n, c in zip(["Intercept", *xs], coef, strict=True)], "feature string, coef double")
+    coef, r2 = [float("nan")] * (len(xs) + 1), float("nan")
+    if row["n"]:
+        mean, std = centre(row, xs)
+        coef = solve(row, xs, y, mean, std)
+        right = [(row[f"s_{x}_{y}"] - mean[i] * row[f"s_{y}"]) / std[i] for i, x in enumerate(xs)]
+        total = row[f"s_{y}_{y}"] - row[f"s_{y}"] ** 2 / row["n"]
+        r2 = float(np.dot(coef[1:], right) / total) if total > 0 else float("nan")
+    return values.sparkSession.createDataFrame([(n, float(c), r2) for n, c in zip(["Intercept", *xs], coef, strict=True)], "feature string, coef double, r2 double")
 
 
 def ols_bootstrap(values: DataFrame, xs: list[str], y: str, order: str, replicates: int = 10_000) -> DataFrame:

@@ -50,53 +50,67 @@ class HashingEncoder:
         return out
 
 
-#: Query vectors that are sent to the tasks at once (of a few hundred dimensions: some tens of MB), and multiplied at once.
-SENT, BLOCK = 20_000, 1024
+#: Query vectors that are broadcast (of a few hundred dimensions: some tens of MB); more are joined in blocks.
+SENT = 20_000
+#: Query and document vectors that meet in one group, and query vectors multiplied at once.
+QUERY_BLOCK, DOC_BLOCK, TILE = 4096, 8192, 512
 
 
-def dense_top_k(docs: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
+def dense_top_k(docs: DataFrame, queries: DataFrame, k: int = 100, sent: int = SENT, query_block: int = QUERY_BLOCK, doc_block: int = DOC_BLOCK) -> DataFrame:
     """qid, doc_id, score, rank: the k documents of the largest inner product with each query. Ids are strings or numbers.
 
-    The stated query set meets all documents in blocks of at most about SENT queries, one after the other; for each
-    block the documents are read once, and a task keeps the k best of its documents for each query, so that what is
-    shuffled is k rows for each query and batch. Null vectors, and those of another width than most, are left out.
+    The stated query set meets all documents, which are read once. Up to `sent` queries are broadcast and the documents
+    stay where they are; beyond, blocks of queries and of documents, numbered by hashes of their ids, are joined by these
+    numbers, and no vector passes through the driver. Either way k rows for each query and block of documents are shuffled
+    to the end. Null vectors, and those of another width than most queries, are left out.
     """
     named = queries.select("qid", "embedding").where("qid IS NOT NULL AND embedding IS NOT NULL")
     widths = named.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     kinds = dict(docs.dtypes)["doc_id"], dict(queries.dtypes)["qid"]
     schema = f"qid {kinds[1]}, doc_id {kinds[0]}, score double"
-    local = docs.sparkSession.createDataFrame([], schema)
-    blocks = -(-named.count() // SENT)
-    for block in range(blocks):
-        own = named.where((F.size("embedding") == widths["dim"]) & (F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)).collect()
-        if own:
-            local = local.unionByName(docs.select("doc_id", "embedding").mapInArrow(_best_of_batches(docs, own, widths["dim"], k), schema))
-    return rank_run(local, ["qid"], k)
-
-
-def _best_of_batches(docs: DataFrame, queries: list, dim: int, k: int):
-    names, matrix = [r["qid"] for r in queries], np.array([r["embedding"] for r in queries], dtype="float64")
-    shared = docs.sparkSession.sparkContext.broadcast((names, matrix))
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, vectors = shared.value
-        for batch in batches:
-            rows = batch.column("embedding")
-            fits = pa.array((rows.value_lengths().fill_null(-1).to_numpy() == dim) & rows.is_valid().to_numpy(zero_copy_only=False))
-            ids = batch.column("doc_id").filter(fits)
-            if not len(ids):
-                continue
-            m = rows.filter(fits).flatten().to_numpy().reshape(-1, dim).astype("float64")
-            for at in range(0, len(names), BLOCK):
-                scores = vectors[at : at + BLOCK] @ m.T
-                # ties at the edge stay, so that the final order by id is exact
-                edge = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
-                i, j = np.nonzero(np.round(scores, 6) >= np.round(edge, 6)[:, None])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[at + x] for x in i]), ids.take(pa.array(j)), pa.array(scores[i, j])], names=["qid", "doc_id", "score"]
-                )
-
-    return best
+    if widths is None:
+        return rank_run(docs.sparkSession.createDataFrame([], schema), ["qid"], k)
+    dim = widths["dim"]
+    asked = named.where(F.size("embedding") == dim)
+    against = docs.select("doc_id", "embedding").where(F.col("doc_id").isNotNull() & (F.size("embedding") == dim))
+    if widths["count"] <= sent:
+        own = asked.collect()  # at most `sent` rows
+        shared = docs.sparkSession.sparkContext.broadcast((pa.array([r["qid"] for r in own]), np.array([r["embedding"] for r in own], dtype="float64")))
+
+        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, vectors = shared.value
+            for batch in batches:
+                if batch.num_rows:
+                    yield from _best(names, vectors, batch.column("doc_id"), _matrix(batch.column("embedding"), dim), k)
+
+        return rank_run(against.mapInArrow(local, schema), ["qid"], k)
+    q_blocks, d_blocks = -(-widths["count"] // query_block), -(-against.count() // doc_block)
+    own = F.pmod(F.xxhash64("qid"), F.lit(q_blocks))
+    q = asked.select("qid", F.col("embedding").alias("asked")).withColumns({"qb": own, "db": F.explode(F.sequence(F.lit(0), F.lit(max(0, d_blocks - 1))))})
+    d = against.select("doc_id", F.col("embedding").alias("given")).withColumns({"db": F.pmod(F.xxhash64("doc_id"), F.lit(max(1, d_blocks))), "qb": F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))})
+
+    def met(x: pa.Table, y: pa.Table) -> pa.Table:
+        parts = []
+        if x.num_rows and y.num_rows:
+            names, ids = (t.column(c).combine_chunks() for t, c in ((x, "qid"), (y, "doc_id")))
+            vectors, m = (_matrix(t.column(c).combine_chunks(), dim) for t, c in ((x, "asked"), (y, "given")))
+            parts = list(_best(names, vectors, ids, m, k))
+        return pa.Table.from_batches(parts) if parts else pa.table({"qid": x.column("qid").slice(0, 0), "doc_id": y.column("doc_id").slice(0, 0), "score": pa.array([], pa.float64())})
+
+    return rank_run(q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInArrow(met, schema), ["qid"], k)
+
+
+def _matrix(rows: pa.Array, dim: int) -> np.ndarray:
+    return rows.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype("float64")
+
+
+def _best(names: pa.Array, vectors: np.ndarray, ids: pa.Array, m: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of some documents for each query; ties at the edge stay, so that the final order by id is exact."""
+    for at in range(0, len(names), TILE):
+        scores = vectors[at : at + TILE] @ m.T
+        edge = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+        i, j = np.nonzero(np.round(scores, 6) >= np.round(edge, 6)[:, None])
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(i + at)), ids.take(pa.array(j)), pa.array(scores[i, j])], names=["qid", "doc_id", "score"])
 
 
 class SparseEncoder(Protocol):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: `spark.checkpoint.dir` of the session, else one of our own."""
+    """The folder for intermediate tables: `spark.checkpoint.dir` of the session; a folder of our own only on one machine."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not sc.getCheckpointDir():  # a session without a cluster, as in tests
+    if not sc.getCheckpointDir():
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -45,7 +48,16 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     _WRITTEN.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._cut_path = path
+    return written
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a `cut` that nothing reads any more."""
+    p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+    p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _WRITTEN.remove((df.sparkSession, df._cut_path))
 
 
 _SHIPPED: set[str] = set()

@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from corpuslens.functions.packed import explode_packed
+from corpuslens.functions.packed import explode_packed, unpack_values
 
 CASES = [
     (None, []), ("", []), (" \t ", []), ("nan", []), ("n/a", []), ("[]", []), ("{}", []), ("; ;", []), ("...", []),
@@ -32,3 +33,14 @@ def test_long_field_and_empty_table(spark):
     rows = explode_packed(spark.createDataFrame([(1, long)], "row_no bigint, packed string"), "row_no", "packed", "v").collect()
     assert [r.v for r in sorted(rows, key=lambda r: r.pos)] == [f"id {k}" if k % 7 == 0 else f"id{k}" for k in range(20_000)]
     assert explode_packed(spark.createDataFrame([], "row_no bigint, packed string"), "row_no", "packed", "v").count() == 0
+
+
+def test_time_is_linear_in_the_field(spark):
+    import time
+
+    field = ", ".join(f"'id {i}'" for i in range(16_000))
+    df = spark.createDataFrame([(1, field)], "k int, f string").select(F.size(unpack_values(F.col("f"))).alias("n"))
+    df.collect()
+    began = time.perf_counter()
+    assert df.collect()[0].n == 16_000
+    assert time.perf_counter() - began < 3
