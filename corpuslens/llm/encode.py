@@ -1,9 +1,10 @@
 """Encoding a corpus with a public tokenizer, each distinct content-defined chunk only once.
 
-Texts are cut where a rolling hash of the last few characters has a certain value, so that the same passage is cut the
-same way in whatever text it stands. The distinct chunks of all texts are encoded once, joined back, and the joins of
-neighbouring chunks are repaired: around a join the text is encoded again, from one place at which the tokenizer
-certainly starts a new piece to the next, and takes the place of the chunks' tokens there.
+Texts are cut where a rolling hash of the last few characters has a certain value and the tokenizer certainly starts a new
+piece, so that the same passage is cut the same way in whatever text it stands, and its tokens are the same there. The
+distinct chunks of all texts are encoded once and joined back. Where a text had to be cut elsewhere (long strings without
+any such place), the join is repaired: around it the text is encoded again, from one certain start of a piece to the
+next, and takes the place of the chunks' tokens there.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ import base64
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,32 +53,59 @@ class Tokenizer:
 
 _LOADED: dict = {}
 
-WINDOW, AVERAGE, LONGEST = 12, 64, 4096
+#: Characters that a cut depends on; of about STARTS characters one starts a piece, and of AVERAGE one is a cut.
+WINDOW, STARTS, AVERAGE, LONGEST = 12, 5, 128, 4096
 
 
 def chunk_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, end) of every chunk: an end where the rolling hash of the last WINDOW characters says so (once in
-    AVERAGE characters), after LONGEST characters, and at a text's end."""
+    """(text number, end) of every chunk."""
+    return _chunks(texts)[:2]
+
+
+def _chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, end, whether a new piece certainly starts there) of every chunk: an end where the rolling hash of the
+    last WINDOW characters says so and a piece certainly starts, after LONGEST characters, and at a text's end."""
     lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
     stops = np.cumsum(lengths)
     up, down = _powers(len(points) + 1)
     sums = np.zeros(len(points) + 1, np.uint64)
     np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=sums[1:])
+    certain = np.ones(len(points) + 1, bool)
+    certain[1:-1] = _certain_starts(points[:-1], points[1:])
     is_end = np.zeros(len(points) + 1, bool)
     if len(points) > WINDOW:
         rolling = mix((sums[WINDOW:] - sums[:-WINDOW]) * down[: len(sums) - WINDOW])
-        is_end[WINDOW:] = rolling % np.uint64(AVERAGE) == 0
+        is_end[WINDOW:] = (rolling % np.uint64(AVERAGE // STARTS) == 0) & certain[WINDOW:]
     owner = np.repeat(np.arange(len(texts)), lengths)
     starts = stops - lengths
     place = np.arange(len(points)) - starts[owner]
     is_end[:-1][place < WINDOW] = False  # a window must lie within its text: position k ends the characters before it
     is_end[:-1][(place > 0) & (place % LONGEST == 0)] = True
-    is_end[stops[lengths > 0]] = True
+    is_end[stops[lengths > 0]] = certain[stops[lengths > 0]] = True
     is_end[0] = False
     ends = np.flatnonzero(is_end)
     number = np.searchsorted(stops, ends, side="left")
-    return number, ends - starts[number]
+    return number, ends - starts[number], certain[ends]
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point its class's letter (as a number) and whether it is white space."""
+    every = [chr(c) for c in range(0x110000)]
+    return np.array([ord(unicodedata.category(c)[0]) for c in every], np.uint8), np.array([c.isspace() for c in every])
+
+
+def _certain_starts(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """`_certain` for code points."""
+    kind, space = _kinds()
+    a, b = kind[before], kind[after]
+    letter, number = a == ord("L"), a == ord("N")
+    ends = np.isin(after, [ord(c) for c in _SPACES]) & (letter | number | (a == ord("P")) | (a == ord("S")))
+    ascii_ = (before < 128) & (after < 128)
+    parts = ascii_ & (letter | number) & ((b == ord("P")) | (b == ord("N"))) & ~(number & (b == ord("N")))
+    stops = ~ascii_ & letter & np.isin(after, [ord(c) for c in _CJK_STOPS])
+    return ~space[before] & np.where(np.isin(after, [ord(c) for c in _SPACES]), ends, parts | stops)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +115,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = [t or "" for t in part.column("text").to_pylist()]
             if not any(texts):
                 continue
-            number, ends = chunk_texts(texts)
+            number, ends, sure = _chunks(texts)
             chunks, seq = [], []
             before, begin, n = -1, 0, 0
             for i, e in zip(number.tolist(), ends.tolist(), strict=True):
@@ -95,7 +125,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seq.append(n)
                 begin, n = e, n + 1
             keys = part.column("key").take(pa.array(number))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(seq, pa.int32()), pa.array(chunks, pa.string())], names=["key", "seq", "chunk"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(seq, pa.int32()), pa.array(sure), pa.array(chunks, pa.string())], names=["key", "seq", "sure", "chunk"])
 
 
 #: White space and CJK punctuation whose class no version of Unicode changed.
@@ -118,8 +148,9 @@ def _certain(before: str, after: str) -> bool:
     return a == "L" and after in _CJK_STOPS
 
 
-def join_chunks(tokens: list[np.ndarray], encoding, sizes: np.ndarray) -> np.ndarray:
-    """The tokens of a whole text from those of its chunks, in order: every join is repaired until it is exact.
+def join_chunks(tokens: list[np.ndarray], encoding, sizes: np.ndarray, sure: np.ndarray | None = None) -> np.ndarray:
+    """The tokens of a whole text from those of its chunks, in order: every join is repaired until it is exact, but for
+    those that are exact as a piece certainly starts there (`sure`, for the end of each chunk).
 
     The tokens spell the text. A stretch between two certain piece starts is encoded again wherever a chunk ends within
     it; a text without any such place is encoded as a whole.
@@ -131,6 +162,8 @@ def join_chunks(tokens: list[np.ndarray], encoding, sizes: np.ndarray) -> np.nda
     text = data.decode()
     ends = np.cumsum(sizes[flat])  # of each token, in bytes
     joins = ends[np.cumsum([len(t) for t in tokens])[:-1] - 1]
+    if sure is not None:
+        joins = joins[~sure[:-1]]
     plain = len(text) == len(data)
     if not plain:
         is_start = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
@@ -161,6 +194,11 @@ def join_chunks(tokens: list[np.ndarray], encoding, sizes: np.ndarray) -> np.nda
     return np.concatenate([*out, flat[done:]])
 
 
+def _width(sizes: np.ndarray) -> str:
+    """How tokens are packed: in two bytes if the vocabulary allows it."""
+    return "<u2" if len(sizes) <= 1 << 16 else "<u4"
+
+
 def encode_corpus(documents: DataFrame, key: str, text: str, tokenizer: Tokenizer) -> DataFrame:
     """key, ids: the token ids of every text, without special tokens.
 
@@ -171,31 +209,37 @@ def encode_corpus(documents: DataFrame, key: str, text: str, tokenizer: Tokenize
     """
     docs = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = dict(docs.dtypes)["key"]
-    chunks = docs.where(F.length("text") > 0).mapInArrow(_cut, f"key {kind}, seq int, chunk string")
-    chunks = chunks.select("key", "seq", "chunk", F.xxhash64("chunk").alias("h1"), F.xxhash64("chunk", F.lit(1)).alias("h2"))
+    chunks = docs.where(F.length("text") > 0).mapInArrow(_cut, f"key {kind}, seq int, sure boolean, chunk string")
+    chunks = chunks.select("key", "seq", "sure", "chunk", F.xxhash64("chunk").alias("h1"), F.xxhash64("chunk", F.lit(1)).alias("h2"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, _ = tokenizer.load()
+        encoding, sizes = tokenizer.load()
         for batch in batches:
-            ids = [encoding.encode_ordinary(c) for c in batch.column("chunk").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), pa.array(ids, pa.list_(pa.int32()))], names=["h1", "h2", "tokens"])
+            ids = [np.asarray(encoding.encode_ordinary(c), _width(sizes)).tobytes() for c in batch.column("chunk").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), pa.array(ids, pa.binary())], names=["h1", "h2", "tokens"])
 
     # a chunk's text is moved once, to be encoded; 128 bits of hash stand for it from then on, and its tokens spell it
-    encoded = chunks.select("h1", "h2", "chunk").distinct().mapInArrow(encode, "h1 bigint, h2 bigint, tokens array<int>")
-    placed = chunks.select("key", "seq", "h1", "h2").join(encoded, ["h1", "h2"])
-    parts = placed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "tokens"))).alias("parts"))
+    encoded = chunks.select("h1", "h2", "chunk").distinct().mapInArrow(encode, "h1 bigint, h2 bigint, tokens binary")
+    placed = chunks.select("key", "seq", "sure", "h1", "h2").join(encoded, ["h1", "h2"])
+    parts = placed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "sure", "tokens"))).alias("parts"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, sizes = tokenizer.load()
         for batch in batches:
             lists = batch.column("parts")
-            tokens = lists.flatten().field("tokens")
-            values, offsets = tokens.flatten().to_numpy(), np.concatenate([[0], np.cumsum(tokens.value_lengths().to_numpy())])
-            ids, at = [], 0
-            for n in lists.value_lengths().to_pylist():
-                own = [values[offsets[k] : offsets[k + 1]] for k in range(at, at + n)]
-                ids.append(join_chunks(own, encoding, sizes))
-                at += n
+            flat, own = lists.flatten(), lists.value_lengths().to_numpy()
+            packed, sure = flat.field("tokens"), flat.field("sure").to_numpy(zero_copy_only=False)
+            values = np.frombuffer(b"".join(packed.to_pylist()), _width(sizes)).astype(np.int32)
+            offsets = np.concatenate([[0], np.cumsum(pc.binary_length(packed).to_numpy())]) // np.dtype(_width(sizes)).itemsize
+            last = np.cumsum(own)
+            # only chunks that were cut where no piece certainly starts need another look
+            unsure = np.add.reduceat(~sure, last - own) > 0 if len(own) else np.zeros(0, bool)
+            ids = []
+            for first, end, again in zip((last - own).tolist(), last.tolist(), unsure.tolist(), strict=True):
+                if again:
+                    ids.append(join_chunks([values[offsets[k] : offsets[k + 1]] for k in range(first, end)], encoding, sizes, sure[first:end]))
+                else:
+                    ids.append(values[offsets[first] : offsets[end]])
             ends = pa.array(np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32))
             whole = pa.array(np.concatenate(ids).astype(np.int32)) if ids else pa.array([], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(ends, whole)], names=["key", "ids"])

@@ -8,6 +8,7 @@ character at a time, by lookups in one flat transition table.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import math
 import re
@@ -146,30 +147,53 @@ class CrossParser:
         return CrossParser(languages, np.concatenate(tables), np.array(roots, np.int32), codes, np.array(bits))
 
     def costs(self, texts: list[str]) -> np.ndarray:
-        """(texts, languages): the bits of each text's phrases in each language."""
+        """(texts, languages): the bits of each text's phrases in each language.
+
+        A language none of whose letters stand in a text parts it at each of its letters, and is not followed through
+        it: so a text in Cyrillic letters is parsed by the automata of such languages only.
+        """
         n = len(texts)
         out = np.zeros((n, len(self.languages)))
         if not n:
             return out
         lengths = np.array([len(t) for t in texts])
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        points = np.where(points < 0x10000, points, 0)
+        letters = np.concatenate([[0], np.cumsum(points != 0x20)])
+        ends = np.cumsum(lengths)
+        known = np.concatenate([np.zeros((len(self.languages), 1), np.int64), np.cumsum((self.codes[:, points] > 0) & (points != 0x20), axis=1)], axis=1)
+        has = (known[:, ends] - known[:, ends - lengths]).T > 0
+        out[:] = (letters[ends] - letters[ends - lengths])[:, None] * self.bits
+        which = has @ (1 << np.arange(len(self.languages)))
+        for mask in np.unique(which[has.any(axis=1)]):
+            own = np.flatnonzero(which == mask)
+            some = np.flatnonzero(has[own[0]])
+            out[np.ix_(own, some)] = self._followed([texts[i] for i in own], some)
+        return out
+
+    def _followed(self, texts: list[str], some: np.ndarray) -> np.ndarray:
+        """(texts, the languages `some`): bits, by following every text through the automata."""
+        n = len(texts)
+        out = np.zeros((n, len(some)))
+        codes, roots = self.codes[some], self.roots[some][:, None]
+        lengths = np.array([len(t) for t in texts])
         order = np.argsort(-lengths, kind="stable")
         points = np.frombuffer("".join(texts[i] for i in order).encode("utf-32-le"), np.uint32)
         points = np.where(points < 0x10000, points, 0).astype(np.uint16)
         lengths = lengths[order]
         starts = np.cumsum(lengths) - lengths
         active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # texts longer than t
-        roots = self.roots[:, None]
         state = np.repeat(roots, n, axis=1)
-        phrases = np.ones((len(self.languages), n), np.int32)
+        phrases = np.ones((len(some), n), np.int32)
         for t in range(lengths[0]):
             m = active[t]
-            column = self.codes[:, points[starts[:m] + t]]
+            column = codes[:, points[starts[:m] + t]]
             to = self.table[state[:, :m] + column]
             parted = to < 0
             phrases[:, :m] += parted
             again = self.table[roots + column]
             state[:, :m] = np.where(parted, np.where(again < 0, roots, again), to)
-        out[order] = (phrases - 1).T * self.bits  # a text without letters costs nothing anywhere
+        out[order] = (phrases - 1).T * self.bits[some]  # a text without letters costs nothing anywhere
         return out
 
 
@@ -277,9 +301,10 @@ def language_segments(documents: DataFrame, key: str, text: str, samples: dict[s
     if not samples:
         return docs.sparkSession.createDataFrame([], schema).withColumnRenamed("key", key)
     spread = docs.sparkSession.sparkContext.broadcast(samples)  # bounded, see labelled_text
+    name = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = CrossParser.fit(spread.value)
+        parser = _parser(name, spread.value)
         for batch in batches:
             for k in range(0, batch.num_rows, 400):
                 part = batch.slice(k, 400)
@@ -301,6 +326,17 @@ def language_segments(documents: DataFrame, key: str, text: str, samples: dict[s
     return docs.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
+_PARSERS: dict[str, CrossParser] = {}
+
+
+def _parser(name: str, samples: dict[str, str]) -> CrossParser:
+    """The parser fitted on these samples, kept for the life of the worker; the last one only."""
+    if name not in _PARSERS:
+        _PARSERS.clear()
+        _PARSERS[name] = CrossParser.fit(samples)
+    return _PARSERS[name]
+
+
 def _rows(i: int, own: list[str], costs: np.ndarray, languages: list[str], switch_bits: float) -> list[tuple]:
     path = segments(costs, switch_bits)
     runs: list[list[int]] = []

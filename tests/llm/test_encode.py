@@ -33,6 +33,28 @@ def test_chunks_rejoin_and_depend_on_content_only():
     assert len(set(alone) & {int(m) - shift for m in moved}) >= len(alone) - 1
 
 
+def test_certain_starts_are_those_of_the_single_rule():
+    import numpy as np
+
+    joined = "".join(texts(3, 40)) + "".join(chr(c) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000)
+    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    got = encode._certain_starts(points[:-1], points[1:])
+    assert got.tolist() == [encode._certain(a, b) for a, b in zip(joined, joined[1:])]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chunks_at_certain_starts_need_no_repair(seed):
+    enc, _ = TOKENIZER.load()
+    ts = [t for t in texts(20 + seed, 60) if t]
+    number, ends, sure = encode._chunks(ts)
+    begin, tokens = 0, {}
+    for k, (i, e) in enumerate(zip(number.tolist(), ends.tolist())):
+        begin = 0 if k == 0 or number[k - 1] != i else begin
+        tokens.setdefault(i, []).extend(enc.encode_ordinary(ts[i][begin:e]))
+        begin = e
+    assert all(tokens[i] == enc.encode_ordinary(t) for i, t in enumerate(ts)) and sure.all() and len(ends) > 2 * len(ts)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_any_cut_is_repaired_exactly(seed):
     rng = random.Random(seed)
