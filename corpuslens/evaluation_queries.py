@@ -246,8 +246,9 @@ def rerank_candidates(s, d):
 
 @query
 def rerank_top5(s, d):
+    """The first five by a scorer of pairs that is called as a model is."""
     top = metrics.rank_run(of(L.run(s, d), "BM25"), ["qid"], 100)
-    return big(r6(rerank.rerank(top, L.queries(s, d), L.corpus(s, d), k=5)))
+    return big(r6(rerank.rerank(top, L.queries(s, d), L.corpus(s, d), rerank.model_score(rerank.OverlapScorer), k=5)))
 
 
 @query
@@ -649,10 +650,19 @@ def qa_prompt(s, d):
 
 @query
 def qa_accuracy(s, d):
-    """Answers read off the evidence of each run, against the one read off the best judged document."""
+    """Answers from four kinds of evidence (none, two runs, the second one reranked), by a generator that is called as a
+    model is, against the answer read off the best judged document."""
     best = L.qrels(s, d).join(L.corpus(s, d), "doc_id").groupBy("qid").agg(F.max_by("text", F.struct("rel", "doc_id")).alias("t")).select("qid", T.normalise_answer(F.col("t")).alias("gold"))
+    asked = C.judged_queries(L.queries(s, d), L.qrels(s, d))
+    hundred = metrics.rank_run(of(L.run(s, d), "BGE-small"), ["qid"], 100)
+    reranked = rerank.rerank(hundred, L.queries(s, d), L.corpus(s, d), rerank.model_score(rerank.OverlapScorer), k=5)
+    evidence = {
+        "none": asked.select("qid", "text", F.array().cast("array<string>").alias("passages")),
+        "BM25": _contexts(s, d, "BM25"), "BGE-small": _contexts(s, d, "BGE-small"),
+        "reranked": qa.contexts(asked, reranked, L.corpus(s, d)),
+    }
     out = None
-    for m in ("BM25", "BGE-small"):
-        a = _contexts(s, d, m).select(F.lit(m).alias("method"), "qid", T.normalise_answer(F.array_join("passages", "\n")).alias("answer"))
-        out = a if out is None else out.unionByName(a)
-    return qa.accuracy(out.join(best, "qid"), ["method"])
+    for name, rows in evidence.items():
+        p = qa.prompts(rows).withColumn("method", F.lit(name))
+        out = p if out is None else out.unionByName(p)
+    return qa.accuracy(qa.generate(out, qa.EvidenceReader).join(best, "qid"), ["method"])

@@ -300,7 +300,11 @@ SELECT round((SELECT avg(diff) FROM placed), 6) AS mean_diff, round(quantile_con
     "qa_contexts": _CTX + "SELECT qid, len(passages) AS n_passages, coalesce(array_to_string(passages, chr(10)), '') AS passages FROM ctx",
     "qa_prompt": _CTX + f"""SELECT qid, '{_HEAD}' || text || '{_MID}' || CASE WHEN coalesce(array_to_string(list_transform(passages, lambda p, i: '[' || i::VARCHAR || '] ' || p), chr(10)), '') = '' THEN '{NO_EVIDENCE}' ELSE array_to_string(list_transform(passages, lambda p, i: '[' || i::VARCHAR || '] ' || p), chr(10)) END || '{_TAIL}' AS prompt FROM ctx""",
     "qa_accuracy": _with(CORPUS, QUERY, QRELS, RUN, RANKED, _TOP5.format(m="BM25"), _TOP5.format(m="BGE-small").replace("ctx AS", "ctx2 AS"),
+                         _LEX.replace("method = 'BM25'", "method = 'BGE-small'"), "lr AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS rank FROM lex)",
+                         """ctx3 AS (SELECT q.qid, q.text, 'reranked' AS method, coalesce(p.passages, []) AS passages FROM (SELECT * FROM queries WHERE qid IN (SELECT qid FROM qrels)) q
+  LEFT JOIN (SELECT lr.qid, list(content ORDER BY rank) AS passages FROM lr JOIN prep ON lr.doc_id = prep.doc_id WHERE rank <= 5 GROUP BY lr.qid) p ON q.qid = p.qid)""",
                          "gold AS (SELECT q.qid, arg_max(text, (rel, c.doc_id)) AS t FROM qrels q JOIN corpus c ON q.doc_id = c.doc_id GROUP BY 1)",
-                         "a AS (SELECT method, qid, coalesce(array_to_string(passages, chr(10)), '') AS p FROM (SELECT * FROM ctx UNION ALL SELECT * FROM ctx2))")
+                         f"""a AS (SELECT method, qid, CASE WHEN len(passages) = 0 THEN '{NO_EVIDENCE}' ELSE array_to_string(passages, chr(10)) END AS p
+  FROM (SELECT * FROM ctx UNION ALL SELECT * FROM ctx2 UNION ALL SELECT * FROM ctx3 UNION ALL SELECT qid, text, 'none', [] FROM ctx))""")
     + f"SELECT method, count(*) AS n, round(avg(CASE WHEN {_ANSWER.format('p')} = {_ANSWER.format('t')} THEN 1 ELSE 0 END), 3) AS accuracy FROM a JOIN gold ON a.qid = gold.qid GROUP BY 1",
 }

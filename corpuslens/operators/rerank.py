@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -31,6 +32,15 @@ def model_score(load: Callable[[], PairScorer]) -> Callable[[Column, Column], Co
     return score
 
 
+class OverlapScorer:
+    """The share of the query's words that the text has, as a scorer of pairs: a model-free stand-in for learned ones."""
+
+    def predict(self, pairs: list[tuple[str, str]]) -> list[float]:
+        words = lambda t: {w.lower() for w in re.findall(r"[A-Za-z][A-Za-z0-9\-]+", t)}
+        sets = [(words(q), words(t)) for q, t in pairs]
+        return [len(q & t) / len(q) if q else 0.0 for q, t in sets]
+
+
 def lexical_score(query: Column, text: Column) -> Column:
     """The model-free scorer: the share of the query's words that the text has."""
     q, t = F.array_distinct(word_tokens(query)), F.array_distinct(word_tokens(text))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +37,52 @@ def placed(values: DataFrame, order: str) -> DataFrame:
     return with_index(values, [order])
 
 
-def replicate_means(values: DataFrame, columns: list[str], order: str, replicates: int, size: int | None = None) -> DataFrame:
-    """_b and the mean of each column over the replicate's draws."""
+#: Rows of a few doubles that every task may hold while it draws from them: at most about 20 MB.
+SHARED_ROWS = 250_000
+
+
+def _drawn_rows(values: DataFrame, columns: list[str], n: int, replicates: int, size: int, reduce, schema: str) -> DataFrame:
+    """The rows that `reduce` makes of (numbers of some replicates, their drawn rows as replicates x size x columns).
+
+    For values whose number n was checked against SHARED_ROWS: they are broadcast, and each task draws for its replicates
+    by the same hash as `draws`.
+    """
+    spark = values.sparkSession
+    rows = sorted(values.select("_idx", *columns).collect())
+    shared = spark.sparkContext.broadcast(np.array([r[1:] for r in rows], dtype="float64").reshape(n, len(columns)))
+    step = max(1, 2_000_000 // size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                b = batch.column("id").to_numpy()[at : at + step]
+                y = ((b[:, None] * size + np.arange(size)) * 7919 + 12345) % PRIME
+                for add in (7, 101, 977):
+                    y = (y * y + 3 * y + add) % PRIME
+                yield reduce(b, matrix[y % n])
+
+    return spark.range(replicates, numPartitions=min(replicates, max(8, replicates * size // 4_000_000))).mapInArrow(run, schema)
+
+
+def replicate_means(values: DataFrame, columns: list[str], order: str, replicates: int, size: int | None = None, shared_rows: int = SHARED_ROWS) -> DataFrame:
+    """_b and the mean of each column over the replicate's draws.
+
+    Up to `shared_rows` values are held by every task; more are joined with the draws by their places. Null values are left
+    out of a mean, for which the join is used.
+    """
     p = cut(placed(values.select(order, *columns), order))
-    n = p.count()
+    counts = p.agg(F.count("*").alias("n"), F.count(F.when(F.greatest(*[F.col(c).isNull().cast("int") for c in columns], F.lit(0)) > 0, 1)).alias("gaps")).first()
+    n = counts["n"]
     if not n:
         return p.select(F.lit(0).cast("bigint").alias("_b"), *columns).limit(0)
+    if n <= shared_rows and not counts["gaps"] and (size or n):
+
+        def means(b: np.ndarray, drawn: np.ndarray) -> pa.RecordBatch:
+            m = drawn.mean(axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(b), *(pa.array(m[:, k]) for k in range(len(columns)))], names=["_b", *columns])
+
+        return _drawn_rows(p, columns, n, replicates, size or n, means, ", ".join(["_b bigint", *(f"`{c}` double" for c in columns)]))
     drawn = draws(values.sparkSession, replicates, n, size or n)
     return drawn.join(p, "_idx").groupBy("_b").agg(*[F.avg(c).alias(c) for c in columns])
 
@@ -199,7 +240,7 @@ def ols(values: DataFrame, xs: list[str], y: str) -> DataFrame:
     return values.sparkSession.createDataFrame([(n, float(c), r2) for n, c in zip(["Intercept", *xs], coef, strict=True)], "feature string, coef double, r2 double")
 
 
-def ols_bootstrap(values: DataFrame, xs: list[str], y: str, order: str, replicates: int = 10_000) -> DataFrame:
+def ols_bootstrap(values: DataFrame, xs: list[str], y: str, order: str, replicates: int = 10_000, shared_rows: int = SHARED_ROWS) -> DataFrame:
     """feature, coef, ci_lo, ci_hi, p_boot, sig: OLS with percentile intervals over resampled rows.
 
     The features are standardised once. Each replicate is reduced to its moment sums by Spark; only the small systems
@@ -210,7 +251,17 @@ def ols_bootstrap(values: DataFrame, xs: list[str], y: str, order: str, replicat
     mean, std = centre(row, xs)
     coef = solve(row, xs, y, mean, std)
     names = ["Intercept", *xs]
-    p = placed(values.select(order, *xs, y), order)
+    p = cut(placed(values.select(order, *xs, y), order))
+    if row["n"] <= shared_rows:
+
+        def fitted(b: np.ndarray, drawn: np.ndarray) -> pa.RecordBatch:
+            x = np.concatenate([np.ones((*drawn.shape[:2], 1)), (drawn[:, :, :-1] - mean) / std], axis=2)
+            own = [np.linalg.lstsq(a.T @ a, a.T @ v, rcond=None)[0] for a, v in zip(x, drawn[:, :, -1], strict=True)]
+            columns = [pa.array(np.repeat(b, len(names))), pa.array(names * len(own)), pa.array(np.concatenate(own))]
+            return pa.RecordBatch.from_arrays(columns, names=["b", "feature", "boot"])
+
+        boot = _drawn_rows(p, [*xs, y], row["n"], replicates, row["n"], fitted, "b bigint, feature string, boot double")
+        return _intervals(boot, names, coef)
     sums = moments(draws(values.sparkSession, replicates, row["n"], row["n"]).join(p, "_idx"), xs, y, ["_b"])
 
     def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,7 +270,11 @@ def ols_bootstrap(values: DataFrame, xs: list[str], y: str, order: str, replicat
             yield pd.DataFrame({"b": np.repeat(batch["_b"].to_numpy(), len(names)), "feature": names * len(own), "boot": np.concatenate(own) if own else []})
 
     boot = sums.mapInPandas(solved, "b bigint, feature string, boot double")
-    points = F.broadcast(values.sparkSession.createDataFrame([(n, float(c)) for n, c in zip(names, coef, strict=True)], "feature string, coef double"))
+    return _intervals(boot, names, coef)
+
+
+def _intervals(boot: DataFrame, names: list[str], coef: np.ndarray) -> DataFrame:
+    points = F.broadcast(boot.sparkSession.createDataFrame([(n, float(c)) for n, c in zip(names, coef, strict=True)], "feature string, coef double"))
     beyond = F.avg((F.col("boot") * F.signum("coef") <= 0).cast("double"))
     out = boot.join(points, "feature").groupBy("feature", "coef").agg(
         F.percentile("boot", F.lit(0.025)).alias("ci_lo"), F.percentile("boot", F.lit(0.975)).alias("ci_hi"), beyond.alias("p")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslens.operators import metrics, vectors
+from corpuslens.operators import metrics, stats, vectors
 from corpuslens.plans import lineage
 
 
@@ -64,3 +64,13 @@ def test_discarded_tables_are_gone(spark):
     assert t.count() == 5 and path.exists()
     lineage.discard(t)
     assert not path.exists()
+
+
+def test_draws_are_the_same_either_way(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"k{i:03d}", *map(float, rng.normal(size=3))) for i in range(80)]
+    df = spark.createDataFrame(rows, "k string, a double, b double, y double")
+    near, far = ({r["_b"]: (r.a, r.y) for r in stats.replicate_means(df, ["a", "y"], "k", 50, 30, shared_rows=n).collect()} for n in (1000, 10))
+    assert len(near) == 50 and all(near[b] == pytest.approx(far[b]) for b in near)
+    near, far = ({r.feature: r for r in stats.ols_bootstrap(df, ["a", "b"], "y", "k", 200, shared_rows=n).collect()} for n in (1000, 10))
+    assert all(near[f].ci_lo == pytest.approx(far[f].ci_lo) and near[f].ci_hi == pytest.approx(far[f].ci_hi) for f in ("Intercept", "a", "b"))
