@@ -516,7 +516,7 @@ def ols_delta(s, d):
 
 @query
 def ols_bootstrap(s, d):
-    return stats.ols_bootstrap(_study(s, d), ["gap", "len", "tech"], "dense_minus_bm25", "qid", replicates=10_000)
+    return r6(stats.ols_bootstrap(_study(s, d), ["gap", "len", "tech"], "dense_minus_bm25", "qid", replicates=10_000))
 
 
 # profiles

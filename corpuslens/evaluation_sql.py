@@ -186,6 +186,28 @@ def _ols() -> str:
     )
 
 
+def _ols_bootstrap(replicates: int) -> str:
+    """The same regression for each replicate, of features standardised once, from its covariances."""
+    det = lambda m: f"({m[0]}*({m[4]}*{m[8]}-{m[5]}*{m[7]})-{m[1]}*({m[3]}*{m[8]}-{m[5]}*{m[6]})+{m[2]}*({m[3]}*{m[7]}-{m[4]}*{m[6]}))"
+    sums = ", ".join([*(f"avg({c}) AS m{c}" for c in "uvwy"), *(f"avg({a} * {b}) - avg({a}) * avg({b}) AS {a}{b}" for a, b in ("uu", "uv", "uw", "vv", "vw", "ww", "uy", "vy", "wy"))])
+    r = ["uu", "uv", "uw", "uv", "vv", "vw", "uw", "vw", "ww"]
+    put = lambda k: [("uy", "vy", "wy")[i // 3] if i % 3 == k else r[i] for i in range(9)]
+    slopes = ", ".join(f"{det(put(k))} / {det(r)} AS s{c}" for k, c in enumerate("uvw"))
+    long = " UNION ALL ".join(f"SELECT '{n}' AS feature, {e} AS boot FROM fits" for n, e in (("Intercept", "my - su * mu - sv * mv - sw * mw"), ("gap", "su"), ("len", "sv"), ("tech", "sw")))
+    whole = _ols().lstrip(", ")
+    z, points = whole[: whole.index("SELECT 'Intercept'")], whole[whole.index("SELECT 'Intercept'") :]
+    z = z.replace("AS y FROM study", "AS y, qid FROM study")
+    return f""", {z}, points AS ({points}),
+placed AS (SELECT z_gap AS u, z_len AS v, z_tech AS w, y, row_number() OVER (ORDER BY qid) - 1 AS idx FROM z),
+{_draws(replicates, "(SELECT count(*) FROM study)", "(SELECT count(*) FROM study)")},
+sums AS (SELECT {sums} FROM draws JOIN placed ON draws.idx = placed.idx GROUP BY draws.b),
+fits AS (SELECT *, {slopes} FROM sums), boots AS ({long}),
+ci AS (
+  SELECT p.feature, coef, quantile_cont(boot, 0.025) AS lo, quantile_cont(boot, 0.975) AS hi, round(CASE WHEN coef = 0 THEN 1 ELSE avg(CASE WHEN boot * sign(coef) <= 0 THEN 1 ELSE 0 END) END, 4) AS p_boot
+  FROM points p JOIN boots ON p.feature = boots.feature GROUP BY 1, 2)
+SELECT feature, coef, round(lo, 6) AS ci_lo, round(hi, 6) AS ci_hi, p_boot, CASE WHEN p_boot < 0.001 THEN '***' WHEN p_boot < 0.01 THEN '**' WHEN p_boot < 0.05 THEN '*' ELSE '' END AS sig FROM ci"""
+
+
 _HEAD, _MID, _TAIL = (x.replace("'", "''") for x in (PROMPT.split("{q}")[0], *PROMPT.split("{q}")[1].split("{ctx}")))
 
 SQL = {
@@ -280,6 +302,7 @@ SELECT round((SELECT avg(diff) FROM placed), 6) AS mean_diff, round(quantile_con
     "stratify_gap": _STUDY.rstrip() + _STRATA.replace("{by}", "gap"),
     "stratify_tech": _STUDY.rstrip() + _STRATA.replace("{by}", "tech"),
     "ols_delta": _STUDY.rstrip() + _ols(),
+    "ols_bootstrap": _STUDY.rstrip() + _ols_bootstrap(10_000),
     "profile_collection": _with(CORPUS, QUERY, "l AS (SELECT 'documents' AS what, len(list_filter(string_split_regex(content, '\\s+'), lambda x: x <> '')) AS n FROM prep UNION ALL SELECT 'queries', len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) FROM queries)")
     + "SELECT what, count(*) AS n, round(avg(l.n), 6) AS mean, median(l.n)::DOUBLE AS median, min(l.n)::DOUBLE AS least, max(l.n)::DOUBLE AS most FROM l GROUP BY 1",
     "profile_judgements": _with(QRELS, "n AS (SELECT count(*) AS n FROM qrels GROUP BY qid)")

@@ -10,7 +10,7 @@ from tests.compare import connect, differences
 SF = "/root/testdata/sf0.001"
 SQL = E.oracle_sql()
 #: Statistics of many resamples take long in either engine; test_evaluation holds their code against numpy.
-SLOW = {"paired_bootstrap", "query_resampling", "resampling_summary"}
+SLOW = {"paired_bootstrap", "query_resampling", "resampling_summary", "ols_bootstrap"}
 
 
 @pytest.fixture(scope="module")
