@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm.shingles import mix, shingle_hashes, unique_per_text, word_hashes
-from corpuslens.plans.lineage import cut
+from corpuslens.plans.lineage import cut, discard
 
 
 @dataclass(frozen=True)
@@ -114,12 +114,12 @@ def common_shingles(contents: DataFrame, p: NearDup) -> np.ndarray:
     return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
 
 
-def _covered(shingles: np.ndarray, sizes: np.ndarray, bins: int = 32, width: int = 6, similar: float = 0.4) -> np.ndarray:
+def _covered(shingles: np.ndarray, sizes: np.ndarray, bins: int = 32, width: int = 4, similar: float = 0.35, back: int = 8) -> np.ndarray:
     """Whether a record resembles one before it, of sets of distinct hashes that come ascending.
 
     The least hash in each of 32 ranges is a sketch of the set. Records whose sketches agree in `width` successive ranges
-    are compared by the whole sketch, each with the last three before it. Of a group of near-duplicates some ten
-    records come before the others resemble them, whatever the size of the group. Empty sets count as covered.
+    are compared by the whole sketch, each with the last `back` before it. Of a group of near-duplicates some ten
+    records at most come before the others resemble them, whatever the size of the group. Empty sets count as covered.
     """
     owner = np.repeat(np.arange(len(sizes)), sizes)
     place = owner * bins + (shingles >> np.uint64(59)).astype(np.int64)
@@ -132,11 +132,11 @@ def _covered(shingles: np.ndarray, sizes: np.ndarray, bins: int = 32, width: int
         key = mix(sketch[:, k : k + width] + np.arange(1, width + 1, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
         order = np.argsort(key, kind="stable")
         key = key[order]
-        for back in (1, 2, 3):
-            later = np.flatnonzero((key[back:] == key[:-back]) & ~out[order[back:]])
-            x, y = sketch[order[later]], sketch[order[later + back]]
+        for step in range(1, min(back, len(key) - 1) + 1):
+            later = np.flatnonzero((key[step:] == key[:-step]) & ~out[order[step:]])
+            x, y = sketch[order[later]], sketch[order[later + step]]
             agree, either = ((x == y) & (y > 0)).sum(axis=1), ((x > 0) | (y > 0)).sum(axis=1)
-            out[order[later + back][agree >= similar * np.maximum(either, 1)]] = True
+            out[order[later + step][agree >= similar * np.maximum(either, 1)]] = True
     return out
 
 
@@ -512,7 +512,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     before = None
     for _ in range(rounds):
-        edges = cut(_small_star(_large_star(edges)))
+        superseded, edges = edges, cut(_small_star(_large_star(edges)))
+        discard(superseded)
         now = tuple(edges.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first())
         if now == before:
             break

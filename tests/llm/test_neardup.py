@@ -127,7 +127,7 @@ def test_large_group_of_edited_records(spark, length, edits):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
-@pytest.mark.parametrize("size,others", [(1500, 8000), (800, 3200)])
+@pytest.mark.parametrize("size,others", [(1500, 8000)])
 def test_large_family(spark, size, others):
     """A family whose own shingles are common, with up to eight edits each, beside unrelated records."""
     rng = random.Random(9)
@@ -170,3 +170,16 @@ def test_meetings_stream_over_batches(sizes):
         assert sorted((r["a"], r["key"]) for r in out if r["b"] is None) == [(n, k) for k, n in rows if sizes[k] > p.small_key]
         met = sorted((r["a"], r["b"]) for r in out if r["b"] is not None)
         assert met == sorted((a, b) for k, a in rows for j, b in rows if k == j and a < b and sizes[k] <= p.small_key)
+
+
+def test_a_large_family_covers_itself():
+    """Of a large family few records count, of unrelated ones nearly all."""
+    from corpuslens.llm.shingles import shingle_hashes, unique_per_text, word_hashes
+
+    rng = random.Random(1)
+    base = [f"w{rng.randrange(3000)}" for _ in range(80)]
+    family = [edited(rng, base, rng.randrange(0, 9)) for _ in range(3000)]
+    others = [" ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(25, 120))) for _ in range(1000)]
+    covered = neardup._covered(*unique_per_text(*shingle_hashes(*word_hashes(family + others + [""]), 3)))
+    assert (~covered[:3000]).sum() <= 10 and covered[3000:4000].mean() < 0.01 and covered[4000]
+    assert neardup._covered(np.zeros(0, np.uint64), np.zeros(1, np.int64)).tolist() == [True]
