@@ -24,12 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.plans.lineage import cut
+from corpuslens.plans.sizes import small_side
 
 #: Words by which suffixes are sorted. Suffixes that agree in all of them stand in one interval in any order, and what lies
 #: beyond them counts as shared until the whole sets are compared.
 SORTED_WORDS = 8
 #: Common words come after rare ones, whose numbers are their hashes.
 COMMON = 2**62
+#: Suffixes of a split in an interval that meet those of another split in one task; larger intervals are split into blocks.
+BLOCK = 2048
 
 
 def words(text: Column) -> Column:
@@ -114,20 +117,27 @@ def _intervals(span: int):
     return run
 
 
-def shared_spans(array: DataFrame, similarity: float) -> DataFrame:
+def shared_spans(array: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
     """x, y: pairs of an eval set and a train set in one interval that can share enough words from there on.
 
     Where the first word that two sets have in common leads their suffixes, all their common words are in these: at
-    most as many as the shorter has, and as the sorted words share with what lies beyond them added.
+    most as many as the shorter has, and as the sorted words share with what lies beyond them added. An interval of
+    any size is spread over tasks: each block of its eval suffixes meets each block of its train suffixes on its own.
     """
     side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("set_id", "size", "start", "suffix")]
-    a = array.where("in_eval").select("part", "interval", *side("x"))
-    b = array.where("in_train").select("part", "interval", *side("y"))
+    blocks = lambda c: F.ceil(F.count(F.when(F.col(c), 1)) / block).alias(f"{c}_blocks")
+    counted = array.groupBy("part", "interval").agg(blocks("in_eval"), blocks("in_train"))
+    large = small_side(cut(counted.where("in_eval_blocks > 0 AND in_train_blocks > 0 AND in_eval_blocks + in_train_blocks > 2")))
+    spread = array.join(large, ["part", "interval"], "left")
+    own = lambda c: F.coalesce(F.pmod(F.xxhash64("set_id"), F.col(f"{c}_blocks")), F.lit(0))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"{c}_blocks"), F.lit(1)) - 1))
+    a = spread.where("in_eval").select("part", "interval", own("in_eval").alias("i"), every("in_train").alias("j"), *side("x"))
+    b = spread.where("in_train").select("part", "interval", every("in_eval").alias("i"), own("in_train").alias("j"), *side("y"))
     enough = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size_x") + F.col("size_y")) - F.lit(1e-9))
     ahead = F.least(F.col("size_x") - F.col("start_x"), F.col("size_y") - F.col("start_y"))
     beyond = [F.greatest(F.col(f"size_{c}") - F.col(f"start_{c}") - SORTED_WORDS, F.lit(0)) for c in "xy"]
     shared = F.size(F.array_intersect("suffix_x", "suffix_y")) + beyond[0] + beyond[1]
-    met = a.join(b, ["part", "interval"]).where((ahead >= enough) & (shared >= enough))
+    met = a.join(b, ["part", "interval", "i", "j"]).where((ahead >= enough) & (shared >= enough))
     return met.select(F.col("set_id_x").alias("x"), F.col("set_id_y").alias("y")).distinct()
 
 
@@ -139,7 +149,8 @@ def split_overlaps(roster: DataFrame, texts: DataFrame, evals: list[str], train:
     or two whose sets of words share at least `similarity` of their union; the smaller id stands first, and
     rows are distinct: two records that both stand in an eval split and in train are an overlap of either of them. Records
     without any word, without text or with null ids or splits are no cases. Equal sets of words are compared once,
-    whatever their number of records; the records come in again at the end.
+    whatever their number of records; the records come in again at the end. Sets of one template, whose rarest word is the
+    same, fill one interval, which is compared in blocks.
     """
     r = roster.where(F.col("split").isin(*evals, train) & F.col("qid").isNotNull()).select("split", "qid").distinct()
     t = texts.where(F.col("qid").isNotNull() & F.col("text").isNotNull()).join(r.select("qid").distinct(), "qid", "left_semi")

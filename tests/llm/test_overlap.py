@@ -94,3 +94,19 @@ def test_coverage_is_over_whole_texts(spark):
     x = spark.createDataFrame([("a", " ".join(long)), ("b", " ".join(long[:55]))], "qid string, text string")
     got = overlap.split_overlaps(r, x, ["dev"], "train", 0.75).collect()
     assert [(o.qid_a, o.qid_b, o.covered) for o in got] == [("a", "b", 55)]
+
+
+def test_a_hot_interval_is_compared_in_blocks(spark, monkeypatch):
+    """A third of all queries are of one template: blocks of any size give the same pairs, each of them once."""
+    rng = random.Random(7)
+    base = [f"t{k}" for k in range(12)]
+    texts = [(f"t{i:04d}", " ".join(base[: 12 - i % 5] + [f"e{rng.randrange(9)}" for _ in range(i % 4)])) for i in range(400)]
+    texts += [(f"o{i:04d}", " ".join(f"w{rng.randrange(500)}" for _ in range(6))) for i in range(800)]
+    roster = [(rng.choice(["train", "train", "dev", "test"]), q) for q, _ in texts]
+    want = brute(roster, texts, 0.75)
+    rows = [(0, 0, n, n % 2 == 0, n % 3 > 0, 3, 0, [1, 2, 3]) for n in range(60)]
+    array = spark.createDataFrame(rows, "part int, interval bigint, set_id bigint, in_eval boolean, in_train boolean, size int, start int, suffix array<bigint>")
+    met = sorted((r.x, r.y) for r in overlap.shared_spans(array, 0.75, block=7).collect())
+    assert met == sorted((x, y) for x in range(0, 60, 2) for y in range(60) if y % 3)
+    monkeypatch.setattr(overlap.shared_spans, "__defaults__", (16,))
+    assert run(spark, roster, texts) == want
