@@ -35,26 +35,39 @@ COMMON = 2**62
 BLOCK = 2048
 
 
+#: Maps that the common words are spread over, as a lookup goes through the whole of a map.
+MAPS = 1024
+
+
 def words(text: Column) -> Column:
-    """The distinct words (longest runs of letters and digits) of the lower-cased text."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    """The distinct words (longest runs of letters and digits) of the lower-cased text, in order of their letters."""
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
 
 
-def ordered_words(texts: DataFrame, common_share: float = 0.002) -> DataFrame:
-    """text_id, words, numbers: the distinct words of each text, rare ones first, and the numbers that order them.
-    Texts without words are left out.
+def _common(texts: DataFrame, common_share: float) -> DataFrame:
+    """One row, ranks: the words in at least `common_share` of all texts with their places in the order of their counts,
+    as maps by the word's hash.
 
-    Only the common words are ordered by their counts. There are at most (mean number of words) / common_share of
-    them, however many texts there are, so they are broadcast; the counts are over all texts.
+    There are at most (mean number of words) / common_share of them, however many texts there are, so they are
+    broadcast; the counts are over all texts.
     """
-    w = cut(texts.select("text_id", words(F.col("text")).alias("words")).where(F.size("words") > 0))
-    n = w.agg(F.count("*")).first()[0]
-    counts = w.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, common_share * n))
-    rank = {r["word"]: i for i, r in enumerate(sorted(counts.collect(), key=lambda r: (r["n"], r["word"])))}
-    ranks = F.broadcast(texts.sparkSession.createDataFrame([(rank,)], "ranks map<string,bigint>"))
-    number = lambda x: F.coalesce(F.try_element_at("ranks", x) + F.lit(COMMON), F.xxhash64(x).bitwiseAND(F.lit(COMMON - 1)))
-    keyed = F.array_sort(F.transform("words", lambda x: F.struct(number(x).alias("k"), x.alias("w"))))
-    return w.crossJoin(ranks).select("text_id", keyed.alias("keyed")).select("text_id", F.col("keyed.w").alias("words"), F.col("keyed.k").alias("numbers"))
+    n = texts.agg(F.count("*")).first()[0]
+    counts = texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, common_share * n))
+    maps: list[dict[str, int]] = [{} for _ in range(MAPS)]
+    for i, r in enumerate(sorted(counts.select("word", "n", _map_of(F.col("word")).alias("at")).collect(), key=lambda r: (r["n"], r["word"]))):
+        maps[r["at"]][r["word"]] = i
+    return texts.sparkSession.createDataFrame([(maps,)], "ranks array<map<string,bigint>>")
+
+
+def _map_of(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(MAPS)).cast("int")
+
+
+def in_order(sets: DataFrame, common: DataFrame) -> DataFrame:
+    """`sets` with numbers: those of their words, ascending. Rare words stand first, by their hashes."""
+    rank = lambda x: F.try_element_at(F.get("ranks", _map_of(x)), x)
+    number = lambda x: F.coalesce(rank(x) + F.lit(COMMON), F.xxhash64(x).bitwiseAND(F.lit(COMMON - 1)))
+    return sets.crossJoin(F.broadcast(common)).withColumn("numbers", F.sort_array(F.transform("words", number))).drop("ranks")
 
 
 def suffixes(sets: DataFrame, similarity: float) -> DataFrame:
@@ -141,7 +154,7 @@ def shared_spans(array: DataFrame, similarity: float, block: int = BLOCK) -> Dat
     return met.select(F.col("set_id_x").alias("x"), F.col("set_id_y").alias("y")).distinct()
 
 
-def split_overlaps(roster: DataFrame, texts: DataFrame, evals: list[str], train: str, similarity: float) -> DataFrame:
+def split_overlaps(roster: DataFrame, texts: DataFrame, evals: list[str], train: str, similarity: float, common_share: float = 0.002) -> DataFrame:
     """eval_split, eval_qid, qid_a, qid_b, similarity, covered: overlaps of the eval splits with train; covered is the
     number of words in common spans, over whole texts.
 
@@ -152,12 +165,13 @@ def split_overlaps(roster: DataFrame, texts: DataFrame, evals: list[str], train:
     whatever their number of records; the records come in again at the end. Sets of one template, whose rarest word is the
     same, fill one interval, which is compared in blocks.
     """
-    r = roster.where(F.col("split").isin(*evals, train) & F.col("qid").isNotNull()).select("split", "qid").distinct()
-    t = texts.where(F.col("qid").isNotNull() & F.col("text").isNotNull()).join(r.select("qid").distinct(), "qid", "left_semi")
-    records = ordered_words(t.select(F.col("qid").alias("text_id"), "text")).withColumnRenamed("text_id", "qid")
-    entries = cut(records.join(r, "qid").select("split", "qid", "words", "numbers"))
-    one = entries.groupBy("words").agg(F.first("numbers").alias("numbers"), F.max(F.col("split") == train).alias("in_train"), F.max(F.col("split") != train).alias("in_eval"))
-    sets = cut(one.withColumn("set_id", F.monotonically_increasing_id()))
+    r = roster.where(F.col("split").isin(*evals, train) & F.col("qid").isNotNull()).groupBy("qid").agg(F.collect_set("split").alias("splits"))
+    t = texts.where(F.col("qid").isNotNull() & F.col("text").isNotNull()).select("qid", words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    key = {"k": F.xxhash64("words"), "l": F.xxhash64(F.lit(1), "words")}  # 128 bits stand for a set of words
+    records = cut(t.join(r, "qid").withColumns(key))
+    of_split = [F.max(F.exists("splits", lambda x: x == train)).alias("in_train"), F.max(F.exists("splits", lambda x: x != train)).alias("in_eval")]
+    one = records.groupBy("k", "l").agg(F.first("words").alias("words"), *of_split)
+    sets = cut(in_order(one, _common(records, common_share)).withColumn("set_id", F.monotonically_increasing_id()))
     spans = shared_spans(suffix_array(suffixes(sets, similarity)), similarity)
     shared = F.size(F.array_intersect("words_x", "words_y"))
     pairs = (
@@ -168,7 +182,7 @@ def split_overlaps(roster: DataFrame, texts: DataFrame, evals: list[str], train:
         .where(F.col("similarity") >= similarity)
         .select("x", "y", "covered", "similarity")
     )
-    of = entries.join(sets.select("words", "set_id"), "words").select("split", "qid", "set_id")
+    of = records.select(F.explode("splits").alias("split"), "qid", "k", "l").join(sets.select("k", "l", "set_id"), ["k", "l"])
     of_eval = of.where(F.col("split") != train).select(F.col("split").alias("eval_split"), F.col("qid").alias("eval_qid"), F.col("set_id").alias("x"))
     of_train = of.where(F.col("split") == train).select(F.col("qid").alias("p"), F.col("set_id").alias("y"))
     found = pairs.join(of_eval, "x").join(of_train, "y")
