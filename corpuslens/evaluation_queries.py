@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpuslens.evaluation_sql import SQL
 from corpuslens.functions import text as T
 from corpuslens.operators import features, fusion, lexical, metrics, profile, qa, rerank, router, sampling, stats, vectors
-from corpuslens.plans.lineage import cut
+from corpuslens.plans.lineage import cut, scratch
 from corpuslens.sources import collections as C
 from corpuslens.sources import relations as L
 from corpuslens.sources import sinks
@@ -107,6 +107,18 @@ def load_collection(s, d):
     return C.judged_queries(L.queries(s, d), dev_qrels(s, d, "test"))
 
 
+@query
+def collection_files(s, d):
+    """The collection written in the layout of its files and read back by the loader: what each split holds."""
+    path = scratch(s, "collection")
+    sinks.write_collection(L.corpus(s, d), L.queries(s, d), L.split_qrels(s, d), path)
+    c = C.load_splits(s, path)
+    asked = c.queries.groupBy("split").agg(F.count("*").alias("n_queries"), F.sum(F.length("text")).alias("query_chars"))
+    judged = c.qrels.groupBy("split").agg(F.count("*").alias("n_judgements"), F.sum("rel").alias("rel_sum"))
+    docs = c.corpus.agg(F.count("*").alias("n_docs"), F.sum(F.length("title") + F.length("text")).alias("doc_chars"))  # one row
+    return asked.join(judged, "split").join(F.broadcast(docs))
+
+
 @query
 def join_run_qrels(s, d):
     run = metrics.rank_run(L.run(s, d), ["method", "qid"], 10)
@@ -220,6 +232,14 @@ def dense_topk(s, d):
     return big(r6(vectors.dense_top_k(docs, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding"), 10)))
 
 
+@query
+def dual_encoder_topk(s, d):
+    """Dense search with one encoder for the queries and another one for the documents, called as models are."""
+    docs = vectors.encode(L.corpus(s, d).select("doc_id", T.prep_text("title", "text").alias("text")), "text", lambda: vectors.HashingEncoder(damped=True))
+    asked = vectors.encode(L.query_set(L.queries(s, d)), "text", vectors.HashingEncoder)
+    return big(r6(vectors.dense_top_k(docs, asked, 10)))
+
+
 def _sparse(s, d, pick: str) -> DataFrame:
     """Components of the given vectors as term logits; the mask leaves the last one out."""
     v = table(s, d, "embeddings").where(pick).select("vec_id", F.posexplode("embedding").alias("term", "x"))
@@ -338,19 +358,24 @@ def _by_source(s, d) -> DataFrame:
     return metrics.evaluate(L.run(s, d), L.qrels(s, d), (10,)).join(sources, "qid")
 
 
+def _pivot(by_source: DataFrame) -> DataFrame:
+    wide = by_source.groupBy("dataset").pivot("method", METHODS).agg(F.round(F.avg("ndcg_10"), 4))
+    return wide.select("dataset", *[F.col(f"`{m}`").alias(m.lower().replace("-", "_")) for m in METHODS])
+
+
 @query
 def multi_dataset_pivot(s, d):
-    wide = _by_source(s, d).groupBy("dataset").pivot("method", METHODS).agg(F.round(F.avg("ndcg_10"), 4))
-    return wide.select("dataset", *[F.col(f"`{m}`").alias(m.lower().replace("-", "_")) for m in METHODS])
+    return _pivot(_by_source(s, d))
 
 
 @query
 def report_backfill(s, d):
-    """A report whose row of one collection is empty at first and filled in later."""
-    wide = multi_dataset_pivot(s, d)
-    first = wide.columns[1:]
-    empty = wide.select("dataset", *[F.when(F.col("dataset") != "qamini", F.col(c)).alias(c) for c in first])
-    return sinks.backfill(empty, wide.where("dataset = 'qamini'"), "dataset")
+    """A report of all collections but one, which has a row of nulls, and that row filled in by its own evaluation later."""
+    rows = cut(_by_source(s, d))
+    later = F.col("dataset") == "qamini"
+    report = _pivot(rows.where(~later))
+    placeholder = rows.where(later).select("dataset").distinct().select("dataset", *[F.lit(None).cast("double").alias(c) for c in report.columns[1:]])
+    return sinks.backfill(report.unionByName(placeholder), _pivot(rows.where(later)), "dataset")
 
 
 def _wide(s, d) -> DataFrame:

@@ -224,6 +224,11 @@ ids AS (SELECT qid, x.q AS question, unnest(coalesce(TRY_CAST(CASE WHEN json_val
     "qa_passages": _with(CORPUS, "l AS (SELECT doc_id AS k, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS c FROM corpus)")
     + "SELECT k || '_p' || (unnest(range(len(c))))::VARCHAR AS doc_id, '' AS title, unnest(c) AS text FROM l",
     "load_collection": _with(QUERY, QRELS) + "SELECT qid, text FROM queries WHERE qid IN (SELECT qid FROM judged WHERE split = 'test')",
+    "collection_files": _with(CORPUS, QUERY, QRELS,
+        "a AS (SELECT split, count(*) AS n_queries, sum(length(text))::BIGINT AS query_chars FROM (SELECT DISTINCT split, qid FROM judged) JOIN queries USING (qid) GROUP BY 1)",
+        "b AS (SELECT split, count(*) AS n_judgements, sum(rel)::BIGINT AS rel_sum FROM judged GROUP BY 1)",
+        "c AS (SELECT count(*) AS n_docs, sum(length(title) + length(text))::BIGINT AS doc_chars FROM corpus)")
+    + "SELECT a.split, n_queries, query_chars, n_judgements, rel_sum, n_docs, doc_chars FROM a JOIN b USING (split) CROSS JOIN c WHERE split IN ('train', 'dev', 'test')",
     "join_run_qrels": _with(QRELS, RUN, RANKED) + "SELECT r.method, coalesce(q.rel, 0)::BIGINT AS rel, count(*) AS n FROM ranked r LEFT JOIN qrels q ON r.qid = q.qid AND r.doc_id = q.doc_id WHERE rank <= 10 GROUP BY 1, 2",
     "join_fusion_outer": _with(RUN, FUSED) + "SELECT qid, doc_id, round(a, 6) AS a, round(b, 6) AS b FROM joined",
     "semi_judged": _with(CORPUS, QRELS) + "SELECT qid, count(*) AS n FROM qrels WHERE doc_id IN (SELECT doc_id FROM corpus) GROUP BY 1",

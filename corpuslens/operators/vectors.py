@@ -35,10 +35,10 @@ def encode(df: DataFrame, text: str, load: Callable[[], Encoder], prefix: str =
 
 
 class HashingEncoder:
-    """Counts of words hashed to `dim` places: a model-free encoder for tests and small machines."""
+    """Counts of words hashed to `dim` places: a model-free encoder for tests and small machines. With `damped`, log(1 + count)."""
 
-    def __init__(self, dim: int = 64):
-        self.dim = dim
+    def __init__(self, dim: int = 64, damped: bool = False):
+        self.dim, self.damped = dim, damped
 
     def encode(self, texts: list[str]) -> np.ndarray:
         import zlib
@@ -47,7 +47,7 @@ class HashingEncoder:
         for i, t in enumerate(texts):
             for w in t.lower().split():
                 out[i, zlib.crc32(w.encode()) % self.dim] += 1
-        return out
+        return np.log1p(out) if self.damped else out
 
 
 #: Query vectors that are broadcast (of a few hundred dimensions: some tens of MB); more are joined in blocks.

@@ -39,14 +39,20 @@ def _sweep() -> None:
             return  # the session has ended before
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver's process ends with its session still there."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows read back from a written table, so that a lost executor costs no recomputation.
 
     The table is deleted when the driver's process ends with its session still there.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
+    path = scratch(spark, "cut")
     df.write.option("compression", "zstd").parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written._cut_path = path

@@ -23,6 +23,17 @@ def write_manifest(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_collection(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, path: str, splits: tuple[str, ...] = ("train", "dev", "test")) -> None:
+    """A collection in the layout that `collections.load_collection` reads: corpus (doc_id, title, text) and queries (qid, text)
+    as JSON lines, the judgements (qid, doc_id, rel, split) of each split as a table with tabs. Each is a folder of parts."""
+    corpus.select(F.col("doc_id").alias("_id"), "title", "text").write.json(f"{path}/corpus.jsonl")
+    queries.select(F.col("qid").alias("_id"), "text").write.json(f"{path}/queries.jsonl")
+    judged = qrels.select("split", F.col("qid").alias("query-id"), F.col("doc_id").alias("corpus-id"), F.col("rel").alias("score"))
+    for s in splits:
+        out = judged.where(F.col("split") == s).drop("split").write.option("header", True)
+        out.csv(f"{path}/qrels/{s}.tsv", sep="\t", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
 def per_query_wide(per_query: DataFrame, methods: list[str], value: str = "ndcg") -> DataFrame:
     """qid and a column for each method."""
     return per_query.groupBy("qid").pivot("method", methods).agg(F.first(value))

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -190,3 +191,28 @@ def test_router_and_profile(spark):
 
     a = qa.generate(spark.createDataFrame([("q", "p", "yes")], "qid string, prompt string, gold string"), Echo)
     assert qa.accuracy(a, ["qid"]).first().accuracy == 1.0
+
+
+def test_two_encoders(spark):
+    """Documents and queries are encoded apart from each other, and compared by brute force."""
+    import zlib
+
+    rng = random.Random(12)
+    docs = [(f"d{i:02d}", " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 12)))) for i in range(40)]
+    asked = [("q1", "a b a"), ("q2", "c"), ("q3", None)]
+    d = vectors.encode(spark.createDataFrame(docs, "doc_id string, text string"), "text", lambda: vectors.HashingEncoder(16, damped=True))
+    q = vectors.encode(spark.createDataFrame(asked, "qid string, text string"), "text", lambda: vectors.HashingEncoder(16))
+    got = {(r.qid, r["rank"]): (r.doc_id, r.score) for r in vectors.dense_top_k(d, q, 3).collect()}
+
+    def vector(text, damped):
+        v = np.zeros(16)
+        for w in (text or "").split():
+            v[zlib.crc32(w.encode()) % 16] += 1
+        v = np.log1p(v) if damped else v
+        return v / (np.linalg.norm(v) or 1)
+
+    for qid, text in asked:
+        best = sorted(((-round(float(vector(text, False) @ vector(t, True)), 6), i) for i, t in docs))[:3]
+        for n, (score, _) in enumerate(best, 1):
+            assert got[(qid, n)][1] == pytest.approx(-score, abs=1e-5)
+    assert len(got) == 9

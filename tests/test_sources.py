@@ -72,3 +72,15 @@ def test_sweep_report(spark):
     rows = {r.dataset: r for r in C.sweep_report({"a": ev, "c": ev}, registry, ["m", "n"]).collect()}
     assert (rows["a"].n_queries, rows["a"].m, rows["a"].n, rows["a"].domain) == (2, 0.375, 1.0, "bio")
     assert rows["b"].m is None and rows["b"].n_queries is None and rows["c"].n is None and rows["c"].notes == "skipped: n"
+
+
+def test_written_collections_are_read_back(spark, tmp_path):
+    docs = [("d 1", "T", 'line\nand "quote"'), ("d;2", "", ""), ("é", "\t", "  x ")]
+    corpus = spark.createDataFrame(docs, "doc_id string, title string, text string")
+    queries = spark.createDataFrame([("q1", "a\tb"), ("q,2", "\\ \\")], "qid string, text string")
+    qrels = spark.createDataFrame([("q1", "d 1", 2, "test"), ("q,2", "d;2", -1, "train"), ("q1", " é", 0, "train")], "qid string, doc_id string, rel int, split string")
+    sinks.write_collection(corpus, queries, qrels, str(tmp_path / "c"))
+    c = C.load_splits(spark, str(tmp_path / "c"))
+    assert sorted(map(tuple, c.corpus.collect())) == sorted(docs)
+    assert sorted(map(tuple, c.qrels.select(*qrels.columns).collect())) == sorted(map(tuple, qrels.collect()))
+    assert {(r.qid, r.text, r.split) for r in c.queries.collect()} == {("q1", "a\tb", "test"), ("q1", "a\tb", "train"), ("q,2", "\\ \\", "train")}
