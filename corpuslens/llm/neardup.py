@@ -22,6 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,11 +72,18 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.R
 
 
 def _classes(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A hash of the word sequence of each text; 0 for one without words."""
+    """(texts, 2): a hash of 128 bits of the word sequence of each text; 0 for one without words."""
     first = np.cumsum(counts) - counts
-    place = np.arange(len(words)) - np.repeat(first, counts)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(words + mix(place.astype(np.uint64))))])
-    return sums[first + counts] - sums[first]
+    place = mix((np.arange(len(words)) - np.repeat(first, counts)).astype(np.uint64))
+    halves = []
+    for each in (mix(words + place), mix(mix(words ^ np.uint64(0x9E3779B97F4A7C15)) + place)):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(each)])
+        halves.append(sums[first + counts] - sums[first])
+    return np.stack(halves, axis=1)
+
+
+def _packed(classes: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(classes), [None, pa.py_buffer(classes.tobytes())]).cast(pa.binary())
 
 
 def common_shingles(contents: DataFrame, p: NearDup) -> np.ndarray:
@@ -145,7 +153,7 @@ def _multipliers(n: int) -> np.ndarray:
 
 
 def fingerprints(rows: DataFrame, p: NearDup, common: np.ndarray) -> DataFrame:
-    """id, at, gone, class (a hash of the word sequence), fp (packed symbols); both null for rows with fewer than
+    """id, at, gone, class (a hash of 128 bits of the word sequence), fp (packed symbols); both null for rows with fewer than
     `least_words` words, without content, or gone."""
     types = dict(rows.dtypes)
     need = max(p.least_words, p.shingle)
@@ -155,10 +163,10 @@ def fingerprints(rows: DataFrame, p: NearDup, common: np.ndarray) -> DataFrame:
         for part, texts in _chunks(batches, p.chunk):
             words, counts = word_hashes(texts)
             long = (counts >= need) & ~part.column("gone").to_numpy(zero_copy_only=False)
-            classes, packed = np.zeros(len(texts), np.int64), np.zeros((len(texts), 2 * p.symbols), np.uint8)
+            classes, packed = np.zeros((len(texts), 2), np.uint64), np.zeros((len(texts), 2 * p.symbols), np.uint8)
             if long.any():
                 words, counts = words[np.repeat(long, counts)], counts[long]
-                classes[long] = _classes(words, counts).view(np.int64)
+                classes[long] = _classes(words, counts)
                 shingles, n = shingle_hashes(words, counts, p.shingle)
                 weights = _weights(shingles, common, p)
                 starts = np.cumsum(n) - n
@@ -166,9 +174,10 @@ def fingerprints(rows: DataFrame, p: NearDup, common: np.ndarray) -> DataFrame:
                 packed[long] = (mix(least) & np.uint64(0xFFFF)).astype("<u2").view(np.uint8)
             fp = [row.tobytes() if ok else None for row, ok in zip(packed, long.tolist(), strict=True)]
             own = [part.column(c) for c in ("id", "at", "gone")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(classes, mask=~long), pa.array(fp, pa.binary())], names=["id", "at", "gone", "class", "fp"])
+            of = pc.if_else(pa.array(long), _packed(classes), pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([*own, of, pa.array(fp, pa.binary())], names=["id", "at", "gone", "class", "fp"])
 
-    return rows.mapInArrow(run, f"id {types['id']}, at {types['at']}, gone boolean, class bigint, fp binary")
+    return rows.mapInArrow(run, f"id {types['id']}, at {types['at']}, gone boolean, class binary, fp binary")
 
 
 def _weights(shingles: np.ndarray, common: np.ndarray, p: NearDup) -> np.ndarray | np.uint64:
@@ -370,7 +379,8 @@ def _shingle_sets(p: NearDup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _chunks(batches, p.chunk):
             words, counts = word_hashes(texts)
-            own = _classes(words, counts).view(np.int64) == part.column("class").to_numpy()
+            wanted = np.frombuffer(b"".join(part.column("class").to_pylist()), np.uint64).reshape(-1, 2)
+            own = (_classes(words, counts) == wanted).all(axis=1)
             words, counts, part = words[np.repeat(own, counts)], counts[own], part.filter(pa.array(own))
             shingles, n = unique_per_text(*shingle_hashes(words, counts, p.shingle))
             packed = np.ascontiguousarray(shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :GRAM_BYTES]).tobytes()
