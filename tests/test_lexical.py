@@ -53,3 +53,12 @@ def test_bm25_sends_on_the_best_only(spark):
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan  # every match was a row that was joined and shuffled to be summed up
     assert top.count() == 150
+
+
+def test_padding_ranks_what_was_found_once(spark):
+    corpus = [(f"d{i:04d}", "", "trial" if i % 50 == 7 else "other") for i in range(400)]
+    padded = lexical.bm25(spark.createDataFrame(corpus, CORPUS), spark.createDataFrame([("q1", "trial"), ("q2", "absent")], "qid string, text string"), 10, pad=True)
+    assert "MapInArrow" not in padded._jdf.queryExecution().toString()  # else every document is scored for both of its uses
+    found = [f"d{i:04d}" for i in range(7, 400, 50)]
+    got = {q: [r.doc_id for r in padded.where(f"qid = '{q}'").orderBy("rank").collect()] for q in ("q1", "q2")}
+    assert got == {"q1": found + ["d0000", "d0001"], "q2": [f"d{i:04d}" for i in range(10)]}
