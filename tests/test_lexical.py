@@ -62,3 +62,16 @@ def test_padding_ranks_what_was_found_once(spark):
     found = [f"d{i:04d}" for i in range(7, 400, 50)]
     got = {q: [r.doc_id for r in padded.where(f"qid = '{q}'").orderBy("rank").collect()] for q in ("q1", "q2")}
     assert got == {"q1": found + ["d0000", "d0001"], "q2": [f"d{i:04d}" for i in range(10)]}
+
+
+def test_best_score_of_each_query(spark):
+    from corpuslens.evaluation_queries import feat_bm25_top1
+
+    top = feat_bm25_top1(spark, "/root/testdata/sf0.001")
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # that of queries without a match; before, every match was joined and summed up, too
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"w{rng.randrange(30)}" for _ in range(n))
+    corpus, queries = [(f"d{i}", "", text(rng.randrange(1, 9))) for i in range(300)], [(f"q{i}", text(3)) for i in range(30)]
+    got = {(r.qid, 1): r.doc_id for r in lexical.bm25(spark.createDataFrame(corpus, CORPUS), spark.createDataFrame(queries, "qid string, text string"), 1, docs=50).collect()}
+    assert got == {x: d for x, (d, _) in _brute(corpus, queries, 1).items()}
